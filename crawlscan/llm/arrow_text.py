@@ -18,6 +18,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Separators of bare words: ASCII other than letters and digits.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -58,13 +60,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lowered) in order, and each row's offsets into them."""
+def word_hashes(column: pa.Array, separators: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all words (A-Z lowered) in order, and each row's offsets into them.
+
+    ``separators`` marks the bytes between words; by default space and U+0009..U+000D.  For each
+    number in ``prefixes`` an array follows with the hashes of the words' first so many bytes.
+    """
     data, offsets = text_bytes(column)
     n = len(data)
     if not n:
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+        return np.zeros(0, U64), np.zeros(len(offsets), np.int64), *(np.zeros(0, U64) for _ in prefixes)
+    solid = ~separators[data]
     starts, ends = solid.copy(), solid.copy()
     starts[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
@@ -77,7 +83,8 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros(n + 1, U64)
     np.cumsum(_BYTE_CODE[_LOWER[data]] * up[:n], out=sums[1:])
     hashes = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(U64))
-    return hashes, np.searchsorted(a, offsets)
+    starting = (mixed((sums[np.minimum(b, a + p)] - sums[a]) * down[a] + U64((1 << 40) + p)) for p in prefixes)
+    return hashes, np.searchsorted(a, offsets), *starting
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -85,7 +92,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
 
     A row with fewer words has its whole sequence as one shingle, a row without words none.
     """
-    words, offsets = word_hashes(column)
+    words, offsets = word_hashes(column)[:2]
     out = []
     odd = [mixed(np.asarray([k + 1], U64))[0] | U64(1) for k in range(width)]
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
