@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, quality_rules, secret_scan, toxicity
+from . import language_id, minhash, mixing, quality_rules, secret_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,9 +29,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.train(docs))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_minhash, op5_secret_scan, op8_mixing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_minhash, op5_secret_scan, op7_language_id, op8_mixing)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op8_mixing": mixing.ORACLE}
