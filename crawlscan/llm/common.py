@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word: a maximal run of characters other than space and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Deletes the shuffle files of a finished write; without it they stay until the driver collects garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A side is broadcast only when its counted rows stay at or under this bound.
 BROADCAST_ROWS = 200_000
 
@@ -44,7 +46,12 @@ class Workspace:
     def save(self, df: DataFrame, key: str, codec: str = "zstd") -> DataFrame:
         """Write ``df`` and return it as read back."""
         at = f"{self.path}/{key}"
-        df.write.mode("overwrite").option("compression", codec).parquet(at)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", codec).parquet(at)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, key: str) -> None:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash, mixing, quality_rules, secret_scan, toxicity
+from . import language_id, minhash, mixing, quality_rules, secret_scan, token_files, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,5 +39,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_minhash, op5_secret_scan, op7_language_id, op8_mixing)}
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op4_minhash, op5_secret_scan, op7_language_id, op8_mixing, op9_token_files)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op8_mixing": mixing.ORACLE}
