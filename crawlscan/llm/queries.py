@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash, mixing, packing, quality_rules, secret_scan, token_files, toxicity
+from . import language_id, minhash, mixing, packing, quality_rules, secret_scan, token_files, toxicity, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.train(docs))
@@ -47,5 +51,5 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_minhash, op5_secret_scan, op7_language_id, op8_mixing, op9_token_files)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_minhash, op5_secret_scan, op6_vector_dedup, op7_language_id, op8_mixing, op9_token_files)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op8_mixing": mixing.ORACLE}
