@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, minhash, mixing, packing, quality_rules, secret_scan, token_files, toxicity, vector_dedup
+from . import html_extract, language_id, minhash, mixing, packing, quality_rules, secret_scan, token_files, toxicity, vector_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,5 +51,9 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_minhash, op5_secret_scan, op6_vector_dedup, op7_language_id, op8_mixing, op9_token_files)}
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_minhash, op5_secret_scan, op6_vector_dedup, op7_language_id, op8_mixing, op9_token_files, op10_html_extract)}
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op8_mixing": mixing.ORACLE}
