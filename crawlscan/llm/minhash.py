@@ -10,10 +10,13 @@
    need no posting; most classes thereby leave the join, and frequent pairs are skipped.
 3. Count: candidates from the posting lists are kept if their signatures agree on ``MATCHES`` coordinates.
 4. Confirm: candidates are compared on full shingle sets, the shared side once per task, in a stream.
-5. Components: a list's members are first linked with one pivot each, in two rounds with different
-   pivots, so large groups of near copies join by as many links as they have members.  Only members
-   of one list that are still in different components are then compared pairwise.  Pairs within a
-   component cannot change the result, so none is lost and no group is expanded.
+5. Components: a list's members are first compared with its pivot, the member that shares most with
+   all others, so large groups of near copies join by as many links as they have members.  A pivot's
+   group is every member of the lists it leads; both sides of any link are in one such group.  Members
+   of a group that are not yet in its largest component are then compared with the whole group, by
+   blocks: on signatures first, and those with a partner above the threshold on full sets.  A block
+   of comparisons gives the links of a spanning forest only.  Pairs within a component cannot change
+   the result, so no link is lost and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from .components import components
 K, MATCHES = 64, 32
 PREFIX = K - MATCHES + 1
 CHUNK_ROWS = 2000  # members compared with one pivot by one task
+SIG_BLOCK, TEXT_BLOCK = 1024, 256  # members of a side of a block
 _RNG = np.random.default_rng(7)
 _XOR = _RNG.integers(0, 2**63, K, dtype=np.int64).astype(U64)
 _ODD = _RNG.integers(0, 2**62, K, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -84,12 +88,15 @@ def tokens(classes: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, rep) of each class's prefix, without tokens that occur once."""
+    """(token, rep, weight) of each class's prefix, without tokens that occur once.
+
+    The weight of a class is how often others share its tokens.
+    """
     counts = tokens(classes).groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
     shared = tokens(classes).join(counts, "token")
-    by_class = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ts"))
+    by_class = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ts"), F.sum("freq").alias("weight"))
     kept = by_class.withColumn("keep", F.lit(PREFIX - K) + F.size("ts")).filter("keep > 0")
-    return kept.select(F.explode(F.slice("ts", F.lit(1), F.col("keep"))).alias("t"), "rep").select("t.token", "rep")
+    return kept.select(F.explode(F.slice("ts", F.lit(1), F.col("keep"))).alias("t"), "rep", "weight").select("t.token", "rep", "weight")
 
 
 def collide(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -134,6 +141,120 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _forest(pairs: Iterator[tuple[int, int]], component: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """The pairs that join what is not yet joined, starting from known components."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        x, y = root(component[a]), root(component[b])
+        if x != y:
+            parent[x] = y
+            yield a, b
+
+
+def dealt_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members (p, x, component, ...) of each pivot's group dealt into blocks of comparisons (p, i, j).
+
+    The minor side (not in the group's largest component) has rows i, the whole group columns j; each
+    block holds at most about ``block`` rows of either side.  ``role`` is 0 for rows of a group that is
+    one block, 1 for the minor side, 2 for the whole.
+    """
+    per = members.groupBy("p", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = per.groupBy("p").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter("top.n < n")
+    shape = shape.select("p", F.col("top.component").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("rows"), F.ceil(F.col("n") / block).alias("columns"))
+    m = members.join(shape, "p").withColumn("minor", F.col("component") != F.col("major"))
+    one = (F.col("rows") == 1) & (F.col("columns") == 1)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    spot = lambda i, j, role: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(role).alias("role"))
+    as_minor = F.when(F.col("minor"), F.transform(every(F.col("columns")), lambda j: spot(F.pmod(F.xxhash64("x", F.lit(1)), F.col("rows")), j, 1)))
+    as_whole = F.transform(every(F.col("rows")), lambda i: spot(i, F.pmod(F.xxhash64("x", F.lit(2)), F.col("columns")), 2))
+    spots = F.when(one, F.array(spot(F.lit(0), F.lit(0), 0))).otherwise(F.concat(F.coalesce(as_minor, F.expr("cast(array() as array<struct<i:bigint,j:bigint,role:int>>)")), as_whole))
+    return m.withColumn("spot", F.explode(spots)).select("p", "spot.i", "spot.j", "spot.role", "minor", "x", "component")
+
+
+def _per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one block (p, i, j) at a time, from batches that are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    at = None
+    for batch in batches:
+        keys = np.column_stack([np.asarray(batch.column(c)) for c in ("p", "i", "j")])
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if at is not None and tuple(keys[a]) != at:
+                yield pa.Table.from_batches(held)
+                held = []
+            at = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(block: pa.Table) -> tuple[np.ndarray, ...]:
+    """Row numbers of the minor side and of the whole side, ids and components."""
+    role, minor = np.asarray(block["role"]), np.asarray(block["minor"])
+    return np.flatnonzero((role == 1) | ((role == 0) & minor)), np.flatnonzero(role != 1), np.asarray(block["x"]), np.asarray(block["component"])
+
+
+def active(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Members (p, x) with a partner in another component of the group that agrees on ``MATCHES`` coordinates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _per_block(batches):
+            a, b, x, component = _sides(block)
+            sig = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint32).reshape(-1, K)
+            other = sig[b].T.copy()
+            hit = np.zeros(len(x), bool)
+            for k in a:
+                alike = np.zeros(len(b), np.int16)
+                for c in range(K):
+                    alike += sig[k, c] == other[c]
+                good = (alike >= MATCHES) & (component[b] != component[k])
+                hit[b[good]] = True
+                hit[k] |= good.any()
+            found = pa.array(x[hit], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block["p"][0].as_py()), pa.int64()), found], names=["p", "x"])
+
+    rows = dealt_blocks(members, SIG_BLOCK).join(sigs.select(F.col("rep").alias("x"), "sig"), "x").select("p", "i", "j", "role", "minor", "x", "component", "sig")
+    return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, "p long, x long").distinct()
+
+
+def block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components of a group, on full shingle sets: a spanning forest of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _per_block(batches):
+            a, b, x, component = _sides(block)
+            sets = [s for part in by_bytes(iter(block.to_batches()), "text") for s in shingle_sets(part.column("text"), width)]
+            sizes = np.array([len(s) for s in sets])
+            owner = np.repeat(np.arange(len(b)), sizes[b])
+            values = np.concatenate([sets[k] for k in b])
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+
+            def pairs() -> Iterator[tuple[int, int]]:
+                for k in a:
+                    lo, hi = np.searchsorted(values, sets[k], "left"), np.searchsorted(values, sets[k], "right")
+                    n = hi - lo
+                    at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    common = np.bincount(owner[at], minlength=len(b))
+                    good = (100 * common >= percent * (sizes[k] + sizes[b] - common)) & (common > 0) & (component[b] != component[k])
+                    yield from ((int(x[k]), int(x[b[g]])) for g in np.flatnonzero(good))
+
+            links = list(_forest(pairs(), dict(zip(x.tolist(), component.tolist(), strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["a", "b"])
+
+    rows = dealt_blocks(members, TEXT_BLOCK).join(texts.withColumnRenamed("doc_id", "x"), "x").select("p", "i", "j", "role", "minor", "x", "component", "text")
+    return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """Components of documents whose ``width``-word shingle sets are at least ``percent`` % similar.
 
@@ -144,6 +265,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     and kept (doc_id = component_id).  Rows that share a doc_id count as one node; a row without
     doc_id is never linked, has a null component_id and is kept.  No rows in, no rows out.
     """
+    if percent < 80:
+        raise ValueError("the signature thresholds are set for a similarity of 0.8 or more")
     ws = Workspace(docs.sparkSession, "minhash")
     digest = ["n_shingles", "digest_a", "digest_b"]
     signed = ws.save(sign(docs, width), "signed")
@@ -151,38 +274,26 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     classes = ws.save(full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     posts = ws.save(postings(classes), "posts")
 
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        hits = ws.save(collide(pairs.filter("a <> b").distinct(), classes), f"{name}-hits")
-        salts = hits.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("salts"))
-        ids = small(ws.save(hits.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), f"{name}-ids"))
-        texts = ws.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id").dropDuplicates(["doc_id", "text"]), f"{name}-texts")
-        out = ws.save(confirm(hits.join(salts, "a"), texts, width, percent), f"{name}-links")
-        for key in ("hits", "ids", "texts"):
-            ws.drop(f"{name}-{key}")
-        return out
-
-    def labelled(found: DataFrame) -> DataFrame:
-        """Postings of lists whose members are in several components."""
-        known = posts.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        open_lists = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        return known.join(open_lists, "token", "left_semi")
-
-    pivots = posts.groupBy("token").agg(F.min("rep").alias("a"))
-    links = confirmed(posts.join(pivots, "token").select("a", F.col("rep").alias("b")), "star0")
-    found = components(links, ws, "cc0")
-    left = ws.save(labelled(found), "left0")
-    pivots = left.groupBy("token").agg(F.min_by(F.struct("rep", "component"), F.xxhash64("rep")).alias("p"))
-    star = left.join(pivots, "token").filter("component <> p.component").select(F.col("p.rep").alias("a"), F.col("rep").alias("b"))
-    links = links.union(confirmed(star, "star1"))
-    found = components(links, ws, "cc1")
-    left = ws.save(labelled(found), "left1")
-    sizes = left.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    major = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    minor = left.join(major, "token").filter("component <> major").select("token", "major", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    cross = minor.join(left, "token").filter("component <> ca AND (component = major OR rep > a)").select("a", F.col("rep").alias("b"))
-    links = links.union(confirmed(cross, "cross"))
-    found = components(links, ws, "cc2")
-    for key in ("left0", "left1", "posts"):
+    def texts_of(ids: DataFrame, name: str) -> DataFrame:
+        """Texts of the given doc_ids, stored."""
+        found = small(ws.save(ids.distinct(), f"{name}-ids"))
+        return ws.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id").dropDuplicates(["doc_id", "text"]), f"{name}-texts")
+
+    pivots = posts.groupBy("token").agg(F.max(F.struct("weight", F.col("rep").alias("p"))).alias("top")).select("token", "top.p")
+    group = ws.save(posts.join(pivots, "token").select("p", F.col("rep").alias("x")).distinct(), "group")
+    ws.drop("posts")
+    hits = ws.save(collide(group.filter("p <> x").select(F.col("p").alias("a"), F.col("x").alias("b")), classes), "hits")
+    salts = hits.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("salts"))
+    texts = texts_of(hits.select(F.explode(F.array("a", "b")).alias("doc_id")), "star")
+    links = ws.save(confirm(hits.join(salts, "a"), texts, width, percent), "star-links")
+    found = components(links, ws, "star-cc").withColumnRenamed("node", "x")
+
+    members = group.join(found, "x", "left").withColumn("component", F.coalesce("component", "x"))
+    members = ws.save(members, "members")
+    alive = ws.save(active(members, classes).join(members, ["p", "x"]), "active")
+    more = ws.save(block_links(alive, texts_of(alive.select(F.col("x").alias("doc_id")), "block"), width, percent), "block-links")
+    found = components(links.union(more), ws, "cc")
+    for key in ("group", "hits", "members", "active", "star-ids", "star-texts", "block-ids", "block-texts"):
         ws.drop(key)
 
     of_class = classes.select(*digest, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("class_component"))
