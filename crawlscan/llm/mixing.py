@@ -52,7 +52,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     )
 
 
-def _cut(rows: DataFrame, left: DataFrame, by: list[str]) -> DataFrame:
+def _cut(rows: DataFrame, by: list[str]) -> DataFrame:
     """The first group of ``by`` per source whose running size passes ``words_left``."""
     sums = rows.groupBy("source", "words_left", *by).agg(F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("group_rows"))
     running = Window.partitionBy("source").orderBy(*by)
@@ -62,26 +62,21 @@ def _cut(rows: DataFrame, left: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = SEED, quality: Column | None = None) -> DataFrame:
-    """How many words of each document the mix takes.
+def _with_keys(docs: DataFrame, seed: str, quality: Column | None) -> DataFrame:
+    """``docs`` with size, source, rank and tie of each row under names of this module."""
+    text = F.col("text")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    uniform = (F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") + 1) / F.lit(float(2**RANK_BITS))
+    race = 1.0 - F.pow(uniform, 1.0 / (text_quality(text) if quality is None else quality))
+    rank = F.least(F.floor(race * F.lit(float(2**RANK_BITS))), F.lit(2**RANK_BITS - 1)).cast("long")
+    return docs.withColumns({"mix_size": word_count(text), "mix_source": F.col("source"), "mix_rank": rank, "mix_tie": name})
 
-    ``docs`` needs doc_id, text and source; other columns are ignored, whatever their names.
-    Returns one row per input row: doc_id, size, source, source_size, target (of the source), taken
-    and epochs (complete passes over the source).  ``taken`` is ``epochs * size`` plus the whole
-    document, a part of it at the cut, or nothing.  Null text has size 0; a null source is a source
-    of its own, placed last; a null doc_id ranks like any other id; rows with equal id and rank that
-    meet at the cut share what is left evenly, so reruns agree.  No rows in, no rows out.
+
+def cuts(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float, ws: Workspace) -> DataFrame:
+    """Per source: source_size, target, epochs, and where the fractional selection ends.
+
+    ``rows`` holds (source, size, rank, tie); the result is broadcast if its counted rows are few.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "mix")
-    text = F.col("text")
-    uniform = (F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") + 1) / F.lit(float(2**RANK_BITS))
-    rows = docs.select(
-        F.col("doc_id"), F.col("source"), word_count(text).alias("size"),
-        F.least(F.floor((1.0 - F.pow(uniform, 1.0 / (text_quality(text) if quality is None else quality))) * F.lit(float(2**RANK_BITS))), F.lit(2**RANK_BITS - 1)).cast("long").alias("rank"),
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("tie"),
-    )
-    rows = ws.save(rows, "rows")
     plan = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.round("target") / F.col("source_size"))).otherwise(0).cast("long"))
     plan = ws.save(plan.withColumn("words_left", F.greatest(F.round("target").cast("long") - F.col("epochs") * F.col("source_size"), F.lit(0))), "plan")
@@ -94,18 +89,58 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     on = F.lit(True)
     for k, shift in enumerate(DIGITS):
         digit = F.shiftright("rank", shift)
-        cut = ws.save(_cut(under(cut, on).withColumn("digit", digit), cut, ["digit"]).drop("group_rows"), f"cut{k}")
+        cut = ws.save(_cut(under(cut, on).withColumn("digit", digit), ["digit"]).drop("group_rows"), f"cut{k}")
         on = digit == F.col("digit")
-    cut = ws.save(_cut(under(cut, on).drop("digit"), cut, ["rank", "tie"]), "cut")
-    cut = plan.select("source", "source_size", "target", "epochs").join(
-        cut.select(F.col("source").alias("s"), F.col("rank").alias("cut_rank"), F.col("tie").alias("cut_tie"), "words_left", "group_rows"), F.col("source").eqNullSafe(F.col("s")), "left"
+    cut = ws.save(_cut(under(cut, on).drop("digit"), ["rank", "tie"]), "cut")
+    cut = plan.select(F.col("source").alias("cut_source"), "source_size", "target", "epochs").join(
+        cut.select("source", F.col("rank").alias("cut_rank"), F.col("tie").alias("cut_tie"), "words_left", "group_rows"), F.col("cut_source").eqNullSafe(F.col("source")), "left"
     )
-    cut = small(ws.save(cut.drop("s").withColumnRenamed("source", "plan_source"), "apply"))
-    at, cut_at = F.struct("rank", "tie"), F.struct(F.col("cut_rank").alias("rank"), F.col("cut_tie").alias("tie"))
-    extra = F.when(F.col("cut_rank").isNull(), 0).when(at < cut_at, F.col("size")).when(at == cut_at, F.floor(F.col("words_left") / F.col("group_rows"))).otherwise(0)
-    return rows.join(cut, F.col("source").eqNullSafe(F.col("plan_source"))).select(
-        "doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"), "epochs",
-    )
+    return small(ws.save(cut.drop("source"), "apply"))
+
+
+def _extra() -> Column:
+    """Words that the fractional selection takes of a row."""
+    at, cut_at = F.struct("mix_rank", "mix_tie"), F.struct("cut_rank", "cut_tie")
+    at_cut = F.floor(F.col("words_left") / F.col("group_rows"))
+    return F.when(F.col("cut_rank").isNull(), 0).when(at < cut_at, F.col("mix_size")).when(at == cut_at, at_cut).otherwise(0).cast("long")
+
+
+def _mixed(docs: DataFrame, keep: list[str], weights: tuple[float, ...], share: float, cap: float, seed: str, quality: Column | None) -> DataFrame:
+    """Columns ``keep`` of ``docs`` with the keys and the cut of each row's source."""
+    ws = Workspace(docs.sparkSession, "mix")
+    keyed = _with_keys(docs, seed, quality)
+    rows = keyed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_rank").alias("rank"), F.col("mix_tie").alias("tie"))
+    rows = ws.save(rows, "rows")
+    cut = cuts(rows, weights, share, cap, ws)
+    if keep == ["doc_id"]:
+        keyed = rows.select("doc_id", *(F.col(c).alias(f"mix_{c}") for c in ("source", "size", "rank", "tie")))
+    return keyed.select(*keep, "mix_source", "mix_size", "mix_rank", "mix_tie").join(cut, F.col("mix_source").eqNullSafe(F.col("cut_source")))
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = SEED, quality: Column | None = None) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    ``docs`` needs doc_id, text and source; other columns are ignored, whatever their names.
+    Returns one row per input row: doc_id, size, source, source_size, target (of the source), taken
+    and epochs (complete passes over the source).  ``taken`` is ``epochs * size`` plus the whole
+    document, a part of it at the cut, or nothing.  Null text has size 0; a null source is a source
+    of its own, placed last; a null doc_id ranks like any other id; rows with equal id and rank that
+    meet at the cut share what is left evenly, so reruns agree.  No rows in, no rows out.
+    """
+    mixed = _mixed(docs, ["doc_id"], weights, share, cap, seed, quality)
+    taken = (F.col("epochs") * F.col("mix_size") + _extra()).alias("taken")
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source").alias("source"), "source_size", "target", taken, "epochs")
+
+
+def mixed_documents(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = SEED, quality: Column | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, as often as the mix takes them.
+
+    A row comes once for each epoch and once more if the fractional selection takes any of its words:
+    the document at the cut stays whole.  Rows that the mix does not take are left out.
+    """
+    mixed = _mixed(docs, docs.columns, weights, share, cap, seed, quality)
+    copies = F.col("epochs") * (F.col("mix_size") > 0).cast("long") + (_extra() > 0).cast("long")
+    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(True), copies.cast("int")))).select(*docs.columns)
 
 
 ORACLE = r"""

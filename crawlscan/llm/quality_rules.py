@@ -29,14 +29,14 @@ RULES: dict[str, tuple[float, ...]] = {
 RISK, DELTA = 0.05, 0.1
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Counts of each document, from its whole text (null text: none).
+def features(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
+    """Counts of each document, from its whole text (null text: none), and the input ``row`` if asked.
 
     Words are split once; 8-word windows become 64-bit hashes and only texts in which a hash occurs
     twice sort them with their positions, so a text costs n log n at most.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", F.col("lang").alias("stratum"), text.alias("t"))
+    base = docs.select("doc_id", F.col("lang").alias("stratum"), text.alias("t"), *(F.struct(*docs.columns).alias("row") for _ in range(keep_rows)))
     base = base.withColumn("words", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)))
     base = base.withColumn("lines", F.filter(F.split("t", "\n"), lambda x: x.rlike(WORD))).withColumn("n_words", F.size("words").cast("long"))
     windows = F.when(F.col("n_words") > WINDOW, F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("words", i, WINDOW))))
@@ -54,7 +54,7 @@ def features(docs: DataFrame) -> DataFrame:
         (F.length("t") - F.length(drop_chars(F.col("t"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("placed").isNull(), F.lit(0).cast("long")).otherwise(covered).alias("n_repeat_words"),
-        F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_capitals"),
+        F.regexp_count("t", F.lit("[A-Z]")).cast("long").alias("n_capitals"), *(F.col("row") for _ in range(keep_rows)),
     )
 
 
@@ -101,6 +101,21 @@ def cutoffs(scored: DataFrame, risk: float, delta: float) -> DataFrame:
     return passed.groupBy("stratum").agg(*(F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
 
 
+def _scored(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
+    rows = features(docs, keep_rows).withColumns(_scores())
+    return rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
+
+
+def _judged(rows: DataFrame, stored: DataFrame, labels: DataFrame, risk: float, delta: float, ws: Workspace) -> DataFrame:
+    """``rows`` with failed_rules and kept, by cutoffs from the ``stored`` features of labelled documents."""
+    marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
+    scored = stored.filter("NOT base_failed").join(marks, "doc_id")
+    cuts = small(ws.save(cutoffs(scored, risk, delta).withColumnRenamed("stratum", "cut_stratum"), "cutoffs"))
+    judged = rows.join(cuts, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
+    failed = F.array_compact(F.array(*(F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES)))
+    return judged.withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+
+
 def judge(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Counts and verdict of every document.
 
@@ -112,18 +127,23 @@ def judge(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, delta: floa
     rules apply; no rows in, no rows out.
     """
     ws = Workspace(docs.sparkSession, "quality")
-    rows = features(docs).withColumns(_scores())
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    rows = ws.save(rows, "features")
-    marks = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") == 1).alias("good"))
-    scored = rows.filter("NOT base_failed").join(marks, "doc_id")
-    cuts = small(ws.save(cutoffs(scored, risk, delta).withColumnRenamed("stratum", "cut_stratum"), "cutoffs"))
-    judged = rows.join(cuts, F.col("stratum").eqNullSafe(F.col("cut_stratum")), "left")
-    failed = F.array_compact(F.array(*(F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in RULES)))
-    return judged.withColumn("failed_rules", failed).select(
-        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules",
-        (~F.col("base_failed") & (F.size("failed_rules") == 0)).alias("kept"),
-    )
+    rows = ws.save(_scored(docs), "features")
+    return _judged(rows, rows, labels, risk, delta, ws).select(
+        "doc_id", "stratum", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept"
+    )
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that ``judge`` keeps.
+
+    The features are stored without texts for the cutoffs and computed again row by row for the
+    verdict, so no text is shuffled.  The row number keeps the optimizer from moving the filter below
+    the features, where it would compute them once for every mention.
+    """
+    ws = Workspace(docs.sparkSession, "quality")
+    stored = ws.save(_scored(docs), "features")
+    rows = _scored(docs, keep_rows=True).withColumn("number", F.monotonically_increasing_id())
+    return _judged(rows, stored, labels, risk, delta, ws).filter("kept AND number >= 0").select("row.*")
 
 
 def oracle() -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,5 +56,5 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_minhash, op5_secret_scan, op6_vector_dedup, op7_language_id, op8_mixing, op9_token_files, op10_html_extract)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_minhash, op5_secret_scan, op6_vector_dedup, op7_language_id, op8_mixing, op9_token_files, op10_html_extract)} | {"pipeline": corpus_pipeline.run}
 ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op8_mixing": mixing.ORACLE}
