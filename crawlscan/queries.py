@@ -1,6 +1,248 @@
-"""Registry of the engine's own queries."""
+"""Registry of the engine's own queries, each with DuckDB SQL for the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from crawlscan.corpus import crawl, crawl_sql
+from crawlscan.functions.hosts import digits_as_long, extract_hosts, filename, host_version, is_response
+from crawlscan.functions.shared import scratch_dir
+from crawlscan.operators import sources as S
+from crawlscan.plans.batch import run_batch, scan_archives
+from crawlscan.plans.work import paths_of, skip_count, work_list
+from crawlscan.sources.state import State
+from crawlscan.sources.warc import good_records, open_uri, read_warc, write_warc
+from crawlscan.streaming.ingest import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+# Fixed values of the SQL side: its regex engine has ASCII word boundaries.
+_PATTERN = r"\b(?:[a-z2-7]{16}|[a-z2-7]{56})\.onion\b"
+_HITS = f"""WITH crawl AS ({crawl_sql(duckdb=True)}),
+resp AS (SELECT * FROM crawl WHERE lower(warc_type) = 'response' AND length(body) > 0),
+hits AS (SELECT archive, record_idx, target_uri, warc_date, unnest(regexp_extract_all(body, '{_PATTERN}')) AS onion FROM resp),
+ded AS (SELECT onion, target_uri AS url, min_by(warc_date, record_idx) AS date, archive FROM hits GROUP BY onion, target_uri, archive) """
+_LISTED = """WITH paths AS (SELECT row_number() OVER (ORDER BY page_id) AS idx, url AS uri, page_id FROM pages),
+ranked AS (SELECT idx, uri, list_extract(string_split(uri, '/'), -1) AS filename, page_id % 4 = 0 AS seen,
+  sum(CASE WHEN page_id % 4 = 0 THEN 0 ELSE 1 END) OVER (ORDER BY idx) AS rnk FROM (SELECT idx, concat('crawl/a/', cast(page_id AS varchar), '.warc.gz') AS uri, page_id FROM paths)) """
+_LIMIT = 10
+
+
+def query(sql: str) -> Callable:
+    """Register a query under its name with its DuckDB SQL."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Response records of the derived crawl with a body."""
+    return crawl(spark, sf_dir).filter(is_response(F.col("warc_type")) & (F.length("body") > 0))
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_hosts(responses(spark, sf_dir))
+
+
+def deduped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.dedupe_sources(S.as_sources(hits(spark, sf_dir)))
+
+
+@query(_HITS + "SELECT archive, record_idx, target_uri, warc_date, onion FROM hits")
+def extract_host_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hits(spark, sf_dir).select("archive", "record_idx", "target_uri", "warc_date", "onion")
+
+
+@query(_HITS + "SELECT onion, url, date, archive FROM ded")
+def dedupe_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduped(spark, sf_dir)
+
+
+@query(_HITS + "SELECT onion, CAST(to_json(list(struct_pack(url := url, date := date, archive := archive) ORDER BY archive, url)) AS VARCHAR) AS sources FROM ded GROUP BY onion")
+def nested_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.nest_sources(deduped(spark, sf_dir)).select("onion", F.to_json("sources").alias("sources"))
+
+
+@query(_HITS + "SELECT archive, count(DISTINCT onion) AS hosts FROM ded GROUP BY archive")
+def hosts_per_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.hosts_per_archive(deduped(spark, sf_dir))
+
+
+@query(_HITS + "SELECT archive, count(*) AS new_hosts FROM (SELECT onion, min(archive) AS archive FROM ded GROUP BY onion) GROUP BY archive")
+def new_hosts_by_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.new_hosts_by_archive(deduped(spark, sf_dir))
+
+
+@query(_HITS + "SELECT count(DISTINCT onion) AS hosts FROM ded")
+def total_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.total_hosts(deduped(spark, sf_dir))
+
+
+@query(_HITS + "SELECT CASE length(onion) WHEN 22 THEN 2 WHEN 62 THEN 3 END AS version, count(DISTINCT onion) AS hosts FROM ded GROUP BY 1")
+def hosts_by_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduped(spark, sf_dir).groupBy(host_version(F.col("onion")).alias("version")).agg(F.countDistinct("onion").alias("hosts"))
+
+
+@query(_HITS + "SELECT archive, count(*) AS records, CAST(sum(octet_length(encode(body))) AS BIGINT) AS bytes FROM resp GROUP BY archive")
+def response_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return responses(spark, sf_dir).groupBy("archive").agg(F.count(F.lit(1)).alias("records"), F.sum(F.octet_length("body")).alias("bytes"))
+
+
+@query(_HITS + "SELECT lower(warc_type) AS warc_type, count(*) AS records FROM crawl GROUP BY 1")
+def record_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl(spark, sf_dir).groupBy(F.lower("warc_type").alias("warc_type")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("SELECT page_id, list_extract(string_split(url, '/'), -1) AS filename FROM pages")
+def filename_from_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", filename(F.col("url")).alias("filename"))
+
+
+def _listed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A paths list of one archive per page, and every fourth of them as processed."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    uri = F.concat(F.lit("crawl/a/"), F.col("page_id").cast("string"), F.lit(".warc.gz"))
+    rows = pages.select(F.expr("row_number() OVER (ORDER BY page_id)").alias("idx"), uri.alias("uri"))
+    return rows, pages.filter("page_id % 4 = 0").select(filename(uri).alias("filename"))
+
+
+@query(_LISTED + f"SELECT CAST(idx AS INTEGER) AS idx, uri, filename FROM ranked WHERE NOT seen AND rnk <= {_LIMIT}")
+def limited_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return work_list(*_listed(spark, sf_dir), _LIMIT)
+
+
+@query(_LISTED + "SELECT CAST(idx AS INTEGER) AS idx, uri, filename FROM ranked WHERE NOT seen")
+def full_work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return work_list(*_listed(spark, sf_dir))
+
+
+@query(_LISTED + f"SELECT count(*) AS skipped FROM ranked WHERE seen AND rnk <= {_LIMIT}")
+def skipped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skip_count(*_listed(spark, sf_dir), _LIMIT)
+
+
+@query(
+    _HITS + ", gens AS (SELECT onion, target_uri AS url, warc_date AS date, archive, record_idx AS k FROM hits WHERE record_idx < 125 "
+    "UNION ALL SELECT onion, target_uri, '2026-01-01T00:00:00Z', archive, 1000000000 + record_idx FROM hits) "
+    "SELECT onion, url, min_by(date, k) AS date, archive FROM gens GROUP BY onion, url, archive"
+)
+def merge_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reprocessed archive: what was there keeps its dates."""
+    found = S.as_sources(hits(spark, sf_dir))
+    existing = S.dedupe_sources(found.filter("record_idx < 125"))
+    again = S.dedupe_sources(found.withColumn("date", F.lit("2026-01-01T00:00:00Z")))
+    return S.merge_sources(existing, again)
+
+
+@query(_HITS + "SELECT onion FROM ded WHERE onion NOT IN (SELECT onion FROM ded WHERE archive = 'SEG-00000.warc.gz') GROUP BY onion")
+def new_hosts_after_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = deduped(spark, sf_dir)
+    return S.new_hosts(found, found.filter("archive = 'SEG-00000.warc.gz'"))
+
+
+_LENGTHS = "(VALUES ('12345'), ('0'), ('  42  '), ('-5'), ('12a3'), (''), ('none')) AS t(v)"
+
+
+@query(f"SELECT v, coalesce(try_cast(nullif(regexp_replace(v, '[^0-9]', '', 'g'), '') AS BIGINT), 0) AS n FROM {_LENGTHS}")
+def content_length_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(f"SELECT v FROM {_LENGTHS}").select("v", digits_as_long(F.col("v")).alias("n"))
+
+
+_V2, _V3 = "abcdefghijklmnop", "abcdefghijklmnopqrstuvwxyz234567abcdefghijklmnopqrstuvwx"
+# Bodies around the edges of the host grammar.
+CASES = [
+    f"visit http://{_V2}.onion for info", f"link: {_V3}.onion is here", f"visit {_V2}.onions for info", "visit abcdefghij.onion for info",
+    "visit abcdefgh89klmnop.onion for info", f"first: {_V2}.onion second: qrstuvwxyzabcdef.onion done", f"{_V2}.onion is at the start", f"ends with {_V2}.onion",
+    "in my opinion this is fine", "", f"é{_V2}.onion", f"{_V2}.onioné", f"www.{_V2}.onion", f"x-{_V2}.onion", f"_{_V2}.onion", f"X{_V2}.onion", f"1{_V2}.onion",
+    f"q{_V2}.onion", f"{_V2.upper()}.onion", f"{_V2}.ONION", f"{_V2}.onion.onion", f'<a href="http://{_V2}.onion/path?q=1">',
+]
+_CASES = "(VALUES " + ", ".join(f"({k}, '{c}')" for k, c in enumerate(CASES)) + ") AS t(id, body)"
+
+
+@query(f"SELECT CAST(id AS INTEGER) AS id, unnest(regexp_extract_all(body, '{_PATTERN}')) AS onion FROM {_CASES}")
+def boundary_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched on bytes, as records are."""
+    return extract_hosts(spark.sql(f"SELECT id, encode(body, 'UTF-8') AS body FROM {_CASES}")).select("id", "onion")
+
+
+def archives(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, list[str]]:
+    """The crawl written as archives: their folder and URIs."""
+    folder = scratch_dir(spark, name)
+    records = crawl(spark, sf_dir)
+    write_warc(records, folder)
+    fs, path = open_uri(folder)
+    from pyarrow.fs import FileSelector
+
+    return folder, sorted(f"{folder}/{f.base_name}" for f in fs.get_file_info(FileSelector(path)) if f.base_name.endswith(".warc.gz"))
+
+
+@query(_HITS + "SELECT archive, target_uri, warc_date, CAST(octet_length(encode(body)) AS BIGINT) AS content_length, md5(body) AS body_md5 FROM resp")
+def warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, uris = archives(spark, sf_dir, "roundtrip")
+    return good_records(read_warc(spark, uris)).select("archive", "target_uri", "warc_date", "content_length", F.md5("body").alias("body_md5"))
+
+
+@query(_HITS + "SELECT onion, url, date, archive FROM ded")
+def warc_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a paths list over archives to the stored state."""
+    folder, uris = archives(spark, sf_dir, "pipeline")
+    run_batch(spark, paths_of(spark, uris), f"{folder}-state")
+    return State(spark, f"{folder}-state").results()
+
+
+def _truncate(uri: str) -> None:
+    """Cut the last third off a file."""
+    fs, path = open_uri(uri)
+    with fs.open_input_file(path) as f:
+        data = f.read(f.size() * 2 // 3)
+    with fs.open_output_stream(path, compression=None) as out:
+        out.write(data)
+
+
+@query(_HITS + "SELECT onion, url, date, archive FROM ded WHERE archive <> 'SEG-00003.warc.gz'")
+def failed_archive_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive that is cut short adds nothing; the others are whole."""
+    folder, uris = archives(spark, sf_dir, "failed")
+    _truncate(next(u for u in uris if u.endswith("SEG-00003.warc.gz")))
+    run_batch(spark, paths_of(spark, uris), f"{folder}-state")
+    return State(spark, f"{folder}-state").results()
+
+
+@query(
+    _HITS + "SELECT count(DISTINCT archive) AS processed, CAST(0 AS BIGINT) AS skipped, CAST(0 AS BIGINT) AS failed, (SELECT count(*) FROM resp) AS records, "
+    "CAST(0 AS BIGINT) AS hosts_before, (SELECT count(DISTINCT onion) FROM ded) AS hosts_new, (SELECT count(DISTINCT onion) FROM ded) AS hosts_total, (SELECT count(*) FROM ded) AS sources_new FROM crawl"
+)
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, uris = archives(spark, sf_dir, "summary")
+    return run_batch(spark, paths_of(spark, uris), f"{folder}-state")
+
+
+@query(_HITS + "SELECT onion, url, date, archive FROM ded")
+def incremental_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over one list, the first limited: together they hold what one run would."""
+    folder, uris = archives(spark, sf_dir, "resume")
+    run_batch(spark, paths_of(spark, uris), f"{folder}-state", limit=3)
+    run_batch(spark, paths_of(spark, uris), f"{folder}-state")
+    return State(spark, f"{folder}-state").results()
+
+
+@query(_HITS + "SELECT onion, url, date, archive FROM ded")
+def streaming_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives from a folder, a few in each micro-batch."""
+    folder, _ = archives(spark, sf_dir, "stream")
+    ingest(spark, folder, f"{folder}-state", f"{folder}-checkpoint", max_files=3).awaitTermination()
+    return State(spark, f"{folder}-state").results()
+
+
+@query(_HITS + "SELECT archive, count(*) AS hits FROM hits GROUP BY archive")
+def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits per archive straight from the reader, in the mode that keeps what precedes damage."""
+    _, uris = archives(spark, sf_dir, "scan")
+    return scan_archives(spark, uris, mode="lenient").filter("record_idx >= 0").groupBy("archive").agg(F.count(F.lit(1)).alias("hits"))
