@@ -15,7 +15,7 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
     A paths list is small next to the archives it names; its lines keep their order.  Raises if the
     file cannot be read or names nothing.
     """
-    lines = spark.read.option("wholetext", False).text(path).coalesce(1)
+    lines = spark.read.text(path).coalesce(1)
     numbered = lines.select(F.trim("value").alias("uri"), F.monotonically_increasing_id().alias("at")).filter("uri <> ''")
     out = numbered.select(F.row_number().over(Window.orderBy("at")).alias("idx"), "uri")
     if out.isEmpty():

@@ -65,7 +65,7 @@ def read_json_results(spark: SparkSession, path: str) -> DataFrame:
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         return spark.createDataFrame([], RESULTS)
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     found = text.select(F.explode(F.coalesce(F.from_json("value", JSON_MAP), F.create_map().cast(JSON_MAP))).alias("onion", "sources"))
     return found.select("onion", F.explode("sources").alias("s")).select("onion", "s.url", "s.date", "s.archive")
 
