@@ -43,7 +43,7 @@ ALLOWED = (
     re.compile(r"(?:example|sample|dummy|placeholder|changeme|redacted|x{4,}|lorem).*", re.IGNORECASE),
     re.compile(r"(?:0123456789|abcdefghijklm|ABCDEFGHIJKLM).*"),
 )
-_TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
+_TERM = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 2)]  # the new character enters before the old one leaves
 
 
 def entropy_spans(run: str, threshold: float) -> list[tuple[int, int]]:
