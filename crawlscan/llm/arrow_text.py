@@ -87,6 +87,14 @@ def word_hashes(column: pa.Array, separators: np.ndarray = _SPACE, prefixes: tup
     return hashes, np.searchsorted(a, offsets), *starting
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end)."""
+    up, down = _tables(len(data))
+    sums = np.zeros(len(data) + 1, U64)
+    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each row's ``width``-word shingles.
 

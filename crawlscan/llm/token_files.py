@@ -22,12 +22,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pfs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import by_bytes
+from .arrow_text import by_bytes, span_hashes, text_bytes
 from .common import Workspace
 
 U64, U32 = np.uint64, np.uint32
@@ -35,11 +34,11 @@ BITS = 20  # frequencies sum to 2 ** BITS
 LOW = U64(1 << 31)  # states stay in [LOW, LOW << 32)
 LANES = 512
 BLOCK = 1 << 17
-GROUP_IDS = 1 << 19
 MAGIC, TAIL = b"ANSF", b"FSNA"
-CACHE_UNITS = 400_000
-_GAP = regex.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = regex.compile(r"\s\s|^\s|\s$")
+CACHE_UNITS = 1_500_000  # about 150 bytes each
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(9, 14), *range(28, 33)]] = True
+_LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
 
 
 class Table:
@@ -108,11 +107,43 @@ def decode_block(payload: bytes, n: int, lanes: int, table: Table) -> np.ndarray
     return out.ravel()[:n]
 
 
+def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Byte positions at which the tokenizer's own splitting surely breaks the texts into pieces.
+
+    These are the starts of texts, a single space or line feed between two characters that are not
+    white space, what follows such a line feed, and a comma or full stop after a letter (ASCII, or one
+    of U+00C0..U+00FF).
+    """
+    n = len(data)
+    blank = _BLANK[data]
+    at = [np.roll(data, -k) for k in (1, 2)]
+    two = (data == 0xC2) & ((at[0] == 0x85) | (at[0] == 0xA0))
+    general = (data == 0xE2) & (at[0] == 0x80) & (((at[1] >= 0x80) & (at[1] <= 0x8A)) | (at[1] == 0xA8) | (at[1] == 0xA9) | (at[1] == 0xAF))
+    three = general | ((data == 0xE1) & (at[0] == 0x9A) & (at[1] == 0x80)) | ((data == 0xE2) & (at[0] == 0x81) & (at[1] == 0x9F)) | ((data == 0xE3) & (at[0] == 0x80) & (at[1] == 0x80))
+    for k, wide in ((2, two), (3, three)):
+        for j in range(k if wide.any() else 0):
+            blank[(np.flatnonzero(wide) + j) % n] = True
+    filled = np.diff(offsets) > 0
+    first, last = offsets[:-1][filled], offsets[1:][filled] - 1
+    before, after = ~np.roll(blank, 1), ~np.roll(blank, -1)
+    before[first] = False
+    after[last] = False
+    lone = before & after
+    feed = (data == 10) & lone
+    letter = _LETTER[data] | ((np.roll(data, 1) == 0xC3) & (data >= 0x80) & (data != 0x97) & (data != 0xB7))
+    ends_word = np.roll(letter, 1)
+    ends_word[first] = False
+    start = ((data == 32) & lone) | feed | np.roll(feed, 1) | (((data == 44) | (data == 46)) & ends_word)
+    start[first] = True
+    return np.flatnonzero(start)
+
+
 class UnitEncoder:
-    """Ids of texts, as little-endian u16 or u32 bytes, by a cache of space-bounded units.
+    """Ids of texts by a cache of units: the stretches between ``unit_starts``.
 
-    The tokenizer's own splitting always breaks before a single space between two non-space characters,
-    so the ids of a text are those of its units, each with its leading space.
+    As the tokenizer breaks at each start, the ids of a text are those of its units in turn.  Units are
+    told apart by 64-bit hashes of their bytes, and only units that a slice of texts has not met are
+    encoded.
     """
 
     def __init__(self, path: str):
@@ -121,24 +152,35 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        units = _GAP.split(text) if _DOUBLE.search(text) else text.split(" ")
-        head, rest = units[0], units[1:]
-        cache = self.cache
-        missing = {u for u in rest if u not in cache}
+        self.cache: dict[int, bytes] = {}
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each followed by ``end_id``, and the number of ids of each."""
+        data, offsets = text_bytes(column)
+        starts = unit_starts(data, offsets) if len(data) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(data))
+        kinds, where, unit = np.unique(span_hashes(data, starts, ends) if len(data) else np.zeros(0, U64), return_index=True, return_inverse=True)
+        keys = kinds.tolist()
+        found = list(map(self.cache.get, keys))
+        missing = [k for k, ids in enumerate(found) if ids is None]
         if missing:
-            if len(cache) > CACHE_UNITS:
-                cache.clear()
-                missing = set(rest)
-            order = list(missing)
-            for u, e in zip(order, self.tokenizer.encode_batch_fast([" " + u for u in order], add_special_tokens=False), strict=True):
-                cache[u] = np.array(e.ids, self.dtype).tobytes()
-        first = np.array(self.tokenizer.encode(head, add_special_tokens=False).ids, self.dtype).tobytes()
-        return first + b"".join(map(cache.__getitem__, rest))
+            if len(self.cache) > CACHE_UNITS:
+                self.cache.clear()
+            raw = data.tobytes()
+            spans = zip(starts[where[missing]].tolist(), ends[where[missing]].tolist(), strict=True)
+            for k, e in zip(missing, self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False), strict=True):
+                found[k] = self.cache[keys[k]] = np.array(e.ids, self.dtype).tobytes()
+        width = np.dtype(self.dtype).itemsize
+        found.append(np.array([end_id], self.dtype).tobytes())
+        sizes = np.array([len(x) for x in found], np.int64) // width
+        place = np.cumsum(sizes) - sizes
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        upto = np.searchsorted(starts, offsets[1:])
+        order = np.insert(unit, upto, len(found) - 1)
+        n = sizes[order]
+        ends_at = np.cumsum(n)
+        ids = flat[np.repeat(place[order] - ends_at + n, n) + np.arange(n.sum())]
+        return ids, np.diff(ends_at[upto + np.arange(len(upto))], prepend=0)
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -162,26 +204,11 @@ def token_groups(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
-        part, grp, width = TaskContext.get().partitionId(), 0, np.dtype(enc.dtype).itemsize
-        doc_ids, lens, held, size = [], [], [], 0
-
-        def group() -> pa.RecordBatch:
-            columns = [pa.array([part], pa.int32()), pa.array([grp], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lens], pa.list_(pa.int64())), pa.array([width == 4]), pa.array([b"".join(held)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "grp", "doc_ids", "lens", "wide", "ids"])
-
-        for batch in by_bytes(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = enc.encode(text or "") + end
-                doc_ids.append(doc_id)
-                lens.append(len(ids) // width)
-                held.append(ids)
-                size += lens[-1]
-                if size >= GROUP_IDS:
-                    yield group()
-                    doc_ids, lens, held, size, grp = [], [], [], 0, grp + 1
-        if doc_ids:
-            yield group()
+        part, wide = TaskContext.get().partitionId(), np.dtype(enc.dtype).itemsize == 4
+        for grp, batch in enumerate(by_bytes(batches, "text")):
+            ids, lens = enc.encode(batch.column("text"), end_id)
+            columns = [pa.array([part], pa.int32()), pa.array([grp], pa.int32()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([lens.tolist()], pa.list_(pa.int64())), pa.array([wide]), pa.array([ids.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "grp", "doc_ids", "lens", "wide", "ids"])
 
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     dealt = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
@@ -309,7 +336,7 @@ def read_files(manifest: DataFrame, table: Table) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
                     at += int(ends[-1])
 
-    spread = placed.repartition(F.col("path"))
+    spread = placed.repartition(max(1, min(4096, manifest.count())), "path")  # a file per task, as far as that goes
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
