@@ -26,7 +26,7 @@ RULES: dict[str, tuple[float, ...]] = {
     "dup_lines_per_100_words": (0.5, 1.0, 2.0, 4.0),
     "repeat_word_share": (0.05, 0.1, 0.2),
 }
-RISK, DELTA = 0.05, 0.1
+RISK, DELTA = 0.02, 0.1
 
 
 def features(docs: DataFrame, keep_rows: bool = False) -> DataFrame:
