@@ -31,6 +31,7 @@ from .components import components
 PLAN = {1: (5, 4), 2: (6, 8), 3: (9, 8), 4: (11, 16), 5: (14, 24), 6: (18, 32)}
 BLOCK = 1024
 ALTERNATIVES = 3
+SETTLE = 20_000  # vectors (and sixteenths of pairs) gathered before their codes are computed
 
 
 def functions_for(n: int, dim: int = 64) -> int:
@@ -132,7 +133,8 @@ def verify(blocks: DataFrame, k: int, cosine: float) -> DataFrame:
     ``kind`` 0: (x = class, y = vectors linked to each of its members); 1: a link (x, y) of the forest.
     """
 
-    def work(table: pa.Table) -> pa.RecordBatch:
+    def passing(table: pa.Table) -> tuple | None:
+        """Vectors of a block that are in pairs of enough cosine, and these pairs, the smaller id first."""
         role, own = np.asarray(table["role"]), np.asarray(table["own"])
         rep, n = np.asarray(table["rep"]), np.asarray(table["n"])
         x = unit(table["blob"].to_pylist())
@@ -141,17 +143,29 @@ def verify(blocks: DataFrame, k: int, cosine: float) -> DataFrame:
         ia, ib = a[ia], b[ib]
         keep = (rep[ia] != rep[ib]) & ~(own[ib] & (rep[ib] < rep[ia]))
         ia, ib = ia[keep], ib[keep]
-        if len(ia):
-            used, at = np.unique(np.concatenate([ia, ib]), return_inverse=True)
-            c = codes(x[used], k)
-            lo = np.where(rep[ia] < rep[ib], at[: len(ia)], at[len(ia) :])
-            hi = np.where(rep[ia] < rep[ib], at[len(ia) :], at[: len(ia)])
-            here = np.zeros(len(ia), bool)
-            for s in range(0, len(ia), 20_000):
-                tab, code = first_meeting(c[lo[s : s + 20_000]], c[hi[s : s + 20_000]])
-                here[s : s + 20_000] = (tab == table["tab"][0].as_py()) & (code == table["code"][0].as_py())
-            ia, ib = ia[here], ib[here]
-        total = np.bincount(ia, n[ib], len(rep)) + np.bincount(ib, n[ia], len(rep))
+        if not len(ia):
+            return None
+        used, at = np.unique(np.concatenate([ia, ib]), return_inverse=True)
+        ia, ib = at[: len(ia)], at[len(ia) :]
+        rep = rep[used]
+        turned = rep[ia] > rep[ib]
+        return x[used], rep, n[used], np.where(turned, ib, ia), np.where(turned, ia, ib), table["tab"][0].as_py(), table["code"][0].as_py()
+
+    def settled(parts: list[tuple]) -> pa.RecordBatch:
+        """Sums and forest of the pairs that count where they were found; codes are computed once for all."""
+        starts = np.cumsum([0, *(len(p[1]) for p in parts)])
+        reps, first, number = np.unique(np.concatenate([p[1] for p in parts]), return_index=True, return_inverse=True)
+        n = np.concatenate([p[2] for p in parts])[first]
+        c = codes(np.concatenate([p[0] for p in parts])[first], k)
+        lo = number[np.concatenate([p[3] + s for p, s in zip(parts, starts, strict=False)])]
+        hi = number[np.concatenate([p[4] + s for p, s in zip(parts, starts, strict=False)])]
+        here = [np.repeat([p[j] for p in parts], [len(p[3]) for p in parts]) for j in (5, 6)]
+        counts = np.zeros(len(lo), bool)
+        for s in range(0, len(lo), 20_000):
+            tab, code = first_meeting(c[lo[s : s + 20_000]], c[hi[s : s + 20_000]])
+            counts[s : s + 20_000] = (tab == here[0][s : s + 20_000]) & (code == here[1][s : s + 20_000])
+        lo, hi = lo[counts], hi[counts]
+        total = np.bincount(lo, n[hi], len(reps)) + np.bincount(hi, n[lo], len(reps))
         some = np.flatnonzero(total)
         parent: dict[int, int] = {}
 
@@ -162,17 +176,17 @@ def verify(blocks: DataFrame, k: int, cosine: float) -> DataFrame:
             return v
 
         links = []
-        for u, v in zip(rep[ia].tolist(), rep[ib].tolist(), strict=True):
+        for u, v in zip(reps[lo].tolist(), reps[hi].tolist(), strict=True):
             ru, rv = root(u), root(v)
             if ru != rv:
                 parent[ru] = rv
                 links.append((u, v))
-        xs = np.concatenate([rep[some], np.array([u for u, _ in links], np.int64)])
+        xs = np.concatenate([reps[some], np.array([u for u, _ in links], np.int64)])
         ys = np.concatenate([total[some].astype(np.int64), np.array([v for _, v in links], np.int64)])
         kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(links)])
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(xs), pa.array(ys)], names=["kind", "x", "y"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, at = [], None
         for batch in batches:
             keys = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("dim", "tab", "code", "i", "j")])
@@ -181,12 +195,29 @@ def verify(blocks: DataFrame, k: int, cosine: float) -> DataFrame:
                 if s == e:
                     continue
                 if at is not None and tuple(keys[s]) != at:
-                    yield work(pa.Table.from_batches(held))
+                    yield pa.Table.from_batches(held)
                     held = []
                 at = tuple(keys[s])
                 held.append(batch.slice(s, e - s))
         if held:
-            yield work(pa.Table.from_batches(held))
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for table in per_block(batches):
+            found = passing(table)
+            if found is None:
+                continue
+            if parts and parts[0][0].shape[1] != found[0].shape[1]:  # another vector length
+                yield settled(parts)
+                parts, size = [], 0
+            parts.append(found)
+            size += len(found[1]) + len(found[3]) // 16
+            if size > SETTLE:
+                yield settled(parts)
+                parts, size = [], 0
+        if parts:
+            yield settled(parts)
 
     return blocks.mapInArrow(run, "kind int, x long, y long")
 
