@@ -62,14 +62,14 @@ def _cut(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _with_keys(docs: DataFrame, seed: str, quality: Column | None) -> DataFrame:
-    """``docs`` with size, source, rank and tie of each row under names of this module."""
+def _keys(seed: str, quality: Column | None) -> list[Column]:
+    """size, source, rank and tie of a row."""
     text = F.col("text")
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     uniform = (F.conv(F.substring(F.md5(F.concat(name, F.lit(f":{seed}"))), 1, 13), 16, 10).cast("long") + 1) / F.lit(float(2**RANK_BITS))
     race = 1.0 - F.pow(uniform, 1.0 / (text_quality(text) if quality is None else quality))
     rank = F.least(F.floor(race * F.lit(float(2**RANK_BITS))), F.lit(2**RANK_BITS - 1)).cast("long")
-    return docs.withColumns({"mix_size": word_count(text), "mix_source": F.col("source"), "mix_rank": rank, "mix_tie": name})
+    return [word_count(text).alias("size"), F.col("source"), rank.alias("rank"), name.alias("tie")]
 
 
 def cuts(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float, ws: Workspace) -> DataFrame:
@@ -100,21 +100,9 @@ def cuts(rows: DataFrame, weights: tuple[float, ...], share: float, cap: float,
 
 def _extra() -> Column:
     """Words that the fractional selection takes of a row."""
-    at, cut_at = F.struct("mix_rank", "mix_tie"), F.struct("cut_rank", "cut_tie")
+    at, cut_at = F.struct("rank", "tie"), F.struct("cut_rank", "cut_tie")
     at_cut = F.floor(F.col("words_left") / F.col("group_rows"))
-    return F.when(F.col("cut_rank").isNull(), 0).when(at < cut_at, F.col("mix_size")).when(at == cut_at, at_cut).otherwise(0).cast("long")
-
-
-def _mixed(docs: DataFrame, keep: list[str], weights: tuple[float, ...], share: float, cap: float, seed: str, quality: Column | None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with the keys and the cut of each row's source."""
-    ws = Workspace(docs.sparkSession, "mix")
-    keyed = _with_keys(docs, seed, quality)
-    rows = keyed.select("doc_id", F.col("mix_source").alias("source"), F.col("mix_size").alias("size"), F.col("mix_rank").alias("rank"), F.col("mix_tie").alias("tie"))
-    rows = ws.save(rows, "rows")
-    cut = cuts(rows, weights, share, cap, ws)
-    if keep == ["doc_id"]:
-        keyed = rows.select("doc_id", *(F.col(c).alias(f"mix_{c}") for c in ("source", "size", "rank", "tie")))
-    return keyed.select(*keep, "mix_source", "mix_size", "mix_rank", "mix_tie").join(cut, F.col("mix_source").eqNullSafe(F.col("cut_source")))
+    return F.when(F.col("cut_rank").isNull(), 0).when(at < cut_at, F.col("size")).when(at == cut_at, at_cut).otherwise(0).cast("long")
 
 
 def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = SEED, quality: Column | None = None) -> DataFrame:
@@ -127,9 +115,10 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float
     of its own, placed last; a null doc_id ranks like any other id; rows with equal id and rank that
     meet at the cut share what is left evenly, so reruns agree.  No rows in, no rows out.
     """
-    mixed = _mixed(docs, ["doc_id"], weights, share, cap, seed, quality)
-    taken = (F.col("epochs") * F.col("mix_size") + _extra()).alias("taken")
-    return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source").alias("source"), "source_size", "target", taken, "epochs")
+    ws = Workspace(docs.sparkSession, "mix")
+    rows = ws.save(docs.select("doc_id", *_keys(seed, quality)), "rows")
+    mixed = rows.join(cuts(rows, weights, share, cap, ws), F.col("source").eqNullSafe(F.col("cut_source")))
+    return mixed.select("doc_id", "size", "source", "source_size", "target", (F.col("epochs") * F.col("size") + _extra()).alias("taken"), "epochs")
 
 
 def mixed_documents(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = SEED, quality: Column | None = None) -> DataFrame:
@@ -138,9 +127,11 @@ def mixed_documents(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2),
     A row comes once for each epoch and once more if the fractional selection takes any of its words:
     the document at the cut stays whole.  Rows that the mix does not take are left out.
     """
-    mixed = _mixed(docs, docs.columns, weights, share, cap, seed, quality)
-    copies = F.col("epochs") * (F.col("mix_size") > 0).cast("long") + (_extra() > 0).cast("long")
-    return mixed.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(True), copies.cast("int")))).select(*docs.columns)
+    ws = Workspace(docs.sparkSession, "mix")
+    cut = cuts(ws.save(docs.select("doc_id", *_keys(seed, quality)), "rows"), weights, share, cap, ws)
+    mixed = docs.select(F.struct(*docs.columns).alias("row"), *_keys(seed, quality)).join(cut, F.col("source").eqNullSafe(F.col("cut_source")))
+    copies = F.col("epochs") * (F.col("size") > 0).cast("long") + (_extra() > 0).cast("long")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(True), copies.cast("int")))).select("row.*")
 
 
 ORACLE = r"""

@@ -115,7 +115,7 @@ def test_mix_meets_its_targets(spark):
 
 
 def test_mixed_documents_repeat_whole_rows(spark):
-    df = spark.createDataFrame([(k, "w " * (1 + k % 9), "en", "ab"[k % 2], k) for k in range(60)], DOCS + ", mixed int")
+    df = spark.createDataFrame([(k, "w " * (1 + k % 9), "en", "ab"[k % 2], k, "x", 1, 2) for k in range(60)], DOCS + ", mixed int, target string, rank int, epochs int")
     plan = {r["doc_id"]: -(-r["taken"] // r["size"]) for r in mixing.mix(df).collect()}
     got = mixing.mixed_documents(df)
     assert got.columns == df.columns and Counter(r["doc_id"] for r in got.collect()) == Counter({k: v for k, v in plan.items() if v})
