@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrow_text import NOT_ALNUM, U64, by_bytes, word_hashes
 
-MAX_TRAIN = 8_000
+MAX_TRAIN = 5_000
 FEATURES = 2000
 FOLDS = 5
 PREFIXES = (5, 6, 7)  # bytes; compounds of one abusive stem share them
