@@ -29,6 +29,7 @@ from .common import Workspace, small
 
 MIN_PAGES = 4  # a host with fewer pages has no statistics
 THRESHOLD = 0.5  # a branch less important than this goes
+BROADCAST_NODES = 1_000_000  # eight bytes each; with more, pages and noise meet in a shuffled join by host
 LINK_SHARE = 0.7  # outside articles, a block with more of its text in links goes
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|$)", re.DOTALL)
@@ -294,7 +295,9 @@ def extract(pages: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     noise = ws.save(noise_nodes(rows, threshold), "noise")
     by_host = noise.groupBy(F.col("host").alias("noise_host")).agg(F.collect_set("node").alias("nodes"))  # styles, not pages
-    by_host = small(ws.save(by_host, "by-host"), 20_000)
+    by_host = ws.save(by_host, "by-host")
+    held = by_host.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0))).first()[0]
+    by_host = small(by_host) if held <= BROADCAST_NODES else by_host
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html"):
