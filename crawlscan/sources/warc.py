@@ -147,10 +147,22 @@ class WarcDataSource(DataSource):
 
 
 def read_warc(spark: SparkSession, archives: list[str], *, mode: str = "fail_archive", types: str = "response", include_body: bool = True) -> DataFrame:
-    """Records and status rows of archives; ``types`` is ``response`` or ``all``."""
+    """Records and status rows of archives; ``types`` is ``response`` or ``all``.
+
+    The same rows as ``spark.read.format("warc")``, one archive in a task, but through Python workers
+    that Spark keeps between queries, which the data source interface starts anew for every plan.
+    """
     spark.dataSource.register(WarcDataSource)
-    options = {"archives": json.dumps(archives), "mode": mode, "types": types, "include_body": str(include_body).lower()}
-    return spark.read.format("warc").options(**options).load()
+    reader = WarcReader({"archives": json.dumps(archives), "mode": mode, "types": types, "include_body": str(include_body).lower()})
+    reader.archives = []  # tasks get theirs as rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uri in batch.column("uri").to_pylist():
+                yield from reader.read(Archive(uri))
+
+    listed = spark.createDataFrame(list(enumerate(archives)), "idx int, uri string").repartitionByRange(len(archives), "idx")
+    return listed.select("uri").mapInArrow(run, RECORD)
 
 
 def write_warc(records: DataFrame, path: str, *, overwrite: bool = True) -> None:

@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import json
 
 import pytest
 
@@ -68,6 +69,9 @@ def test_reader_reports_failures_and_keeps_going(spark, tmp_path):
     assert status["a.warc.gz"]["error"] is None and status["a.warc.gz"]["content_length"] == 4
     assert status["c.warc"]["error"] is None and status["c.warc"]["content_length"] == 2
     assert status["b.warc.gz"]["error"] and status["gone.warc.gz"]["error"]
+    by_format = spark.read.format("warc").option("archives", json.dumps([whole, cut, plain])).load()
+    key = lambda r: (r["archive"], r["record_idx"], bytes(r["body"] or b""))
+    assert sorted(map(key, by_format.collect())) == sorted(key(r) for r in rows if r["archive"] != "gone.warc.gz")
     every = read_warc(spark, [plain], types="all", include_body=False).filter("record_idx >= 0").collect()
     assert [r["warc_type"] for r in every] == ["warcinfo", "request", "response", "request", "RESPONSE"] and all(r["body"] is None for r in every)
     with pytest.raises(Exception, match="mode"):
