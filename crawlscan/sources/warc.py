@@ -166,11 +166,22 @@ def read_warc(spark: SparkSession, archives: list[str], *, mode: str = "fail_arc
 
 
 def write_warc(records: DataFrame, path: str, *, overwrite: bool = True) -> None:
-    """Write records (archive, record_idx, warc_type, target_uri, warc_date, body) as archives under ``path``."""
+    """Write records (archive, record_idx, warc_type, target_uri, warc_date, body) as archives under ``path``.
+
+    A task owns whole archives and files appear under their names when all are written, as with
+    ``write.format("warc")``.
+    """
     records.sparkSession.dataSource.register(WarcDataSource)
     shaped = records.select("archive", F.col("record_idx").cast("long").alias("record_idx"), "warc_type", "target_uri", "warc_date", F.octet_length("body").cast("long").alias("content_length"), F.col("body").cast("binary").alias("body"), F.lit(None).cast("string").alias("error"))
     dealt = shaped.repartition("archive").sortWithinPartitions("archive", "record_idx")
-    dealt.write.format("warc").mode("overwrite" if overwrite else "append").save(path)
+    writer = WarcWriter({"path": path}, overwrite)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = writer.write(row for batch in batches for row in batch.to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*written.files, strict=True)] if written.files else [pa.array([], pa.string())] * 2, names=["temp", "final"])
+
+    files = dealt.mapInArrow(run, "temp string, final string").collect()  # a row per archive
+    writer.commit([Written([(f["temp"], f["final"]) for f in files])])
 
 
 def good_records(rows: DataFrame) -> DataFrame:

@@ -84,3 +84,7 @@ def test_written_archives_read_back(spark, tmp_path):
     write_warc(df, str(tmp_path / "out"))
     back = read_warc(spark, [str(tmp_path / "out" / n) for n in ("x.warc.gz", "y.warc.gz")]).filter("record_idx >= 0").collect()
     assert sorted((r["archive"], r["target_uri"], bytes(r["body"])) for r in back) == sorted([("x.warc.gz", f"u{k}", f"body {k}".encode()) for k in range(1, 20, 2)] + [("y.warc.gz", "", b"\xff\x00")])
+    shaped = df.selectExpr("archive", "record_idx", "warc_type", "target_uri", "warc_date", "octet_length(body) AS content_length", "body", "CAST(NULL AS STRING) AS error")
+    shaped.coalesce(1).sortWithinPartitions("archive", "record_idx").write.format("warc").mode("append").save(str(tmp_path / "by-format"))
+    for name in ("x.warc.gz", "y.warc.gz"):
+        assert (tmp_path / "by-format" / name).read_bytes() == (tmp_path / "out" / name).read_bytes()
