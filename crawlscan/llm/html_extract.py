@@ -9,8 +9,10 @@ branch.  Copies of a page count once.  Branches under the threshold are removed
 
 Further rules hold on every page, also for hosts with too few pages to compare: branches that name
 themselves as no content (scripts, forms, navigation, adverts, comments, ...) go, and so do blocks that
-are mostly links; where a page marks its article, that branch is the main text and neither statistics
-nor links remove it.
+are mostly links, save in an article.  Where a page marks its article, the mark is a prior and the style
+tree still judges: branches in the article go if they repeat enough in spite of it, and branches beside
+it stay if they are important in spite of it.  Beside an article, branches without statistics go, unless
+their text outweighs the article's.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from .common import Workspace, small
 
 MIN_PAGES = 4  # a host with fewer pages has no statistics
 THRESHOLD = 0.5  # a branch less important than this goes
-BROADCAST_NODES = 1_000_000  # eight bytes each; with more, pages and noise meet in a shuffled join by host
+BROADCAST_NODES = 1_000_000  # eight bytes each; with more, pages and nodes meet in a shuffled join by host
+PRIOR = 0.75  # what is left of the evidence that speaks against an article's mark
+OUTWEIGHS = 200  # characters beside an article, at least, that can show it not to hold the main text
 LINK_SHARE = 0.7  # outside articles, a block with more of its text in links goes
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|$)", re.DOTALL)
@@ -231,57 +235,66 @@ def host_of(url: Column) -> Column:
 
 
 def style_nodes(pages: DataFrame) -> DataFrame:
-    """(host, page, node, content, layout) of every style node with text outside articles, on every page.
+    """(host, page, node, inside, beside, content, layout) of every style node with text, on every page.
 
-    ``page`` digests the page, ``content`` the texts right under the node, ``layout`` their number.
+    ``page`` digests the page, ``content`` the texts right under the node, ``layout`` their number;
+    ``inside`` tells nodes of articles, ``beside`` other nodes of pages with text in an article.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html"):
             out: list[tuple] = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                held: dict[int, list[str]] = {}
+                held: dict[tuple[int, bool], list[str]] = {}
                 for key, text, inside, _ in blocks(parse(page or "")):
-                    if not inside:
-                        held.setdefault(key, []).append(text)
-                digest = _short(page or "")
-                out += [(host, digest, key, _short("\x00".join(texts)), len(texts)) for key, texts in held.items()]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "page", "node", "content", "layout"])
+                    held.setdefault((key, inside), []).append(text)
+                digest, marked = _short(page or ""), any(inside for _, inside in held)
+                out += [(host, digest, key, inside, marked and not inside, _short("\x00".join(texts)), len(texts)) for (key, inside), texts in held.items()]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "page", "node", "inside", "beside", "content", "layout"])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, page long, node long, content long, layout int")
+    return pages.select("host", "html").mapInArrow(run, "host string, page long, node long, inside boolean, beside boolean, content long, layout int")
 
 
-def noise_nodes(pages: DataFrame, threshold: float) -> DataFrame:
-    """(host, node) of the style nodes that are less important than ``threshold``.
+def judged_nodes(pages: DataFrame, threshold: float) -> DataFrame:
+    """(host, node, noise): style nodes that go, and those beside articles that stay (``noise`` false).
 
     With m distinct pages showing a node, a content that c of them show spreads over them with entropy
     log(c) / log(m), so content importance is 1 - sum over contents of (c / m) * log(c) / log(m).
     Presentation importance is the entropy of the node's layouts, -sum(q log q) / log(m).  The node's
-    importance is 1 - (1 - content) * (1 - presentation / 2).  Counts are aggregated before each shuffle.
+    importance is 1 - (1 - content) * (1 - presentation / 2).  An article's mark takes a quarter from
+    what a node of the article lacks in importance, and from the importance of a node beside it.
+    Counts are aggregated before each shuffle.
     """
-    counts = style_nodes(pages).distinct().groupBy("host", "node", "content", "layout").agg(F.count(F.lit(1)).alias("c"))
+    seen = [F.bool_or(c).alias(c) for c in ("inside", "beside")]
+    counts = style_nodes(pages).distinct().groupBy("host", "node", "content", "layout").agg(F.count(F.lit(1)).alias("c"), *seen)
     m = F.col("m")
 
     def spread(by: str) -> DataFrame:
         """Pages m of each node and the sum of c * log(c) over what ``by`` tells apart."""
-        return counts.groupBy("host", "node", by).agg(F.sum("c").alias("c")).groupBy("host", "node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias(by))
+        return counts.groupBy("host", "node", by).agg(F.sum("c").alias("c"), *seen).groupBy("host", "node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias(by), *seen)
 
-    both = spread("content").filter(m >= MIN_PAGES).join(spread("layout").drop("m"), ["host", "node"])
+    both = spread("content").filter(m >= MIN_PAGES).join(spread("layout").drop("m", "inside", "beside"), ["host", "node"])
     repeated, plain = F.col("content") / (m * F.log(m)), F.col("layout") / (m * F.log(m))
-    return both.filter(1 - repeated * (1 - (1 - plain) / 2) < threshold).select("host", "node")
+    lack = repeated * (1 - (1 - plain) / 2)
+    noise = 1 - lack * F.when(F.col("inside"), PRIOR).otherwise(1) < threshold
+    return both.select("host", "node", noise.alias("noise"), (F.col("beside") & (PRIOR * (1 - lack) >= threshold)).alias("stays")).filter("noise OR stays").drop("stays")
 
 
-def main_text(page: str | None, noise: frozenset[int]) -> str:
-    """Blocks of a page joined by a space: those of its articles if any hold text, else those outside ``noise``.
+def main_text(page: str | None, noise: frozenset[int], stays: frozenset[int] = frozenset()) -> str:
+    """Blocks of a page outside ``noise``, joined by a space; beside text in articles, those in ``stays``.
 
-    If names would remove all text of a page, they do not count.
+    Where the plain text beside articles outweighs theirs, it stays too.  If names would remove all text
+    of a page, they do not count.
     """
     root = parse(page or "")
     found = list(blocks(root)) or list(blocks(root, by_name=False))
-    inside = [text for _, text, in_article, _ in found if in_article]
-    return " ".join(inside or [text for key, text, _, share in found if key not in noise and share <= LINK_SHARE])
+    left = [(key, text, inside) for key, text, inside, share in found if key not in noise and (inside or share <= LINK_SHARE)]
+    marked = sum(len(text) for _, text, inside in left if inside)
+    if marked and sum(len(text) for _, text, inside in left if not inside) <= max(marked, OUTWEIGHS):
+        left = [(key, text, inside) for key, text, inside in left if inside or key in stays]
+    return " ".join(text for _, text, _ in left)
 
 
 def extract(pages: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
@@ -293,17 +306,18 @@ def extract(pages: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """
     ws = Workspace(pages.sparkSession, "html")
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    noise = ws.save(noise_nodes(rows, threshold), "noise")
-    by_host = noise.groupBy(F.col("host").alias("noise_host")).agg(F.collect_set("node").alias("nodes"))  # styles, not pages
+    judged = ws.save(judged_nodes(rows, threshold), "judged")
+    sets = [F.collect_set(F.when(F.col("noise") == noise, F.col("node"))).alias(name) for name, noise in (("nodes", True), ("stays", False))]
+    by_host = judged.groupBy(F.col("host").alias("judged_host")).agg(*sets)  # styles, not pages
     by_host = ws.save(by_host, "by-host")
-    held = by_host.agg(F.coalesce(F.sum(F.size("nodes")), F.lit(0))).first()[0]
+    held = by_host.agg(F.coalesce(F.sum(F.size("nodes") + F.size("stays")), F.lit(0))).first()[0]
     by_host = small(by_host) if held <= BROADCAST_NODES else by_host
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "html"):
-            pages_in = zip(batch.column("html").to_pylist(), batch.column("nodes").to_pylist(), strict=True)
-            texts = [main_text(page, frozenset(nodes or ())) for page, nodes in pages_in]
+            pages_in = zip(*(batch.column(c).to_pylist() for c in ("html", "nodes", "stays")), strict=True)
+            texts = [main_text(page, frozenset(nodes or ()), frozenset(stays or ())) for page, nodes, stays in pages_in]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    joined = rows.join(by_host, F.col("host") == F.col("noise_host"), "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "nodes")
+    joined = rows.join(by_host, F.col("host") == F.col("judged_host"), "left").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html", "nodes", "stays")
     return joined.mapInArrow(run, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -61,6 +61,27 @@ def test_repeated_branches_of_a_site_go(spark):
     assert H.extract(site(spark).limit(0)).count() == 0
 
 
+def extracted(spark, pages, host="a.example.com"):
+    rows = [(k, f"https://{host}/{k}", page) for k, page in enumerate(pages)]
+    return {r["page_id"]: r["text"] for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_the_tree_judges_articles(spark):
+    """A notice that repeats in articles goes; a body beside a teaser's article stays, other text there goes."""
+    notice = "<div class=x4>Written for you by our friends</div>"
+    got = extracted(spark, [f"<article><h1>Title {k}</h1><p>Story {k}</p>{notice}</article><div class=x5>All that is left</div>" for k in range(12)])
+    assert got == {k: f"Title {k} Story {k}" for k in range(12)}
+    body = [f"Body {k} has its own words {k * 7}" for k in range(12)]
+    got = extracted(spark, [f"<div class=x5>All that is left</div><div class=x2>{b}</div><article>Teaser {k}</article>" for k, b in enumerate(body)])
+    assert got == {k: f"{b} Teaser {k}" for k, b in enumerate(body)}
+
+
+def test_text_that_outweighs_an_article_stays():
+    body = "A body of many words. " * 20
+    assert H.main_text(f"<div>{body}</div><article>Teaser</article>", NONE) == f"{body}Teaser"
+    assert H.main_text(f"<div>Aside</div><article>{body}</article>", NONE) == body.strip()
+
+
 def test_given_pages(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     got = {r["page_id"]: r["text"] for r in H.extract(spark.read.parquet(f"{SF}/pages.parquet")).collect()}
