@@ -5,7 +5,8 @@ and each style node keeps how many of the host's pages show it and how often eac
 (text and link target pattern) occurs.  The importance of a branch is one minus the normalised entropy
 of its contents over the pages: contents that repeat across pages spread evenly and score near 0,
 contents of one page score 1; presentation counts likewise, by the entropy of the layouts seen under the
-branch.  Copies of a page count once.  Branches under the threshold are removed from each page.
+branch.  Copies of a page count once: pages of a host whose longest texts, up to nine tenths of all outside named
+noise, are the same.  Branches under the threshold are removed from each page.
 
 Further rules hold on every page, also for hosts with too few pages to compare: branches that name
 themselves as no content (scripts, forms, navigation, adverts, comments, ...) go, and so do blocks that
@@ -32,6 +33,7 @@ from .common import Workspace, small
 MIN_PAGES = 4  # a host with fewer pages has no statistics
 THRESHOLD = 0.5  # a branch less important than this goes
 BROADCAST_NODES = 1_000_000  # eight bytes each; with more, pages and nodes meet in a shuffled join by host
+COPY_SHARE = 0.9  # pages with the same longest texts, up to this share of all, are copies
 PRIOR = 0.75  # what is left of the evidence that speaks against an article's mark
 OUTWEIGHS = 200  # characters beside an article, at least, that can show it not to hold the main text
 LINK_SHARE = 0.7  # outside articles, a block with more of its text in links goes
@@ -234,10 +236,21 @@ def host_of(url: Column) -> Column:
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def copy_digest(found: list[tuple[int, str]]) -> int:
+    """Digest of the longest of a page's (style key, text), up to ``COPY_SHARE`` of all, in page order."""
+    room, most = COPY_SHARE * sum(len(text) for _, text in found), set()
+    for k in sorted(range(len(found)), key=lambda k: -len(found[k][1])):
+        if room <= 0:
+            break
+        most.add(k)
+        room -= len(found[k][1])
+    return _short("\x00".join(f"{key} {text}" for k, (key, text) in enumerate(found) if k in most))
+
+
 def style_nodes(pages: DataFrame) -> DataFrame:
     """(host, page, node, inside, beside, content, layout) of every style node with text, on every page.
 
-    ``page`` digests the page, ``content`` the texts right under the node, ``layout`` their number;
+    ``page`` is the same for copies, ``content`` digests the texts right under the node, ``layout`` their number;
     ``inside`` tells nodes of articles, ``beside`` other nodes of pages with text in an article.
     """
 
@@ -246,9 +259,10 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 held: dict[tuple[int, bool], list[str]] = {}
-                for key, text, inside, _ in blocks(parse(page or "")):
+                found = list(blocks(parse(page or "")))
+                for key, text, inside, _ in found:
                     held.setdefault((key, inside), []).append(text)
-                digest, marked = _short(page or ""), any(inside for _, inside in held)
+                digest, marked = copy_digest([(key, text) for key, text, _, _ in found]), any(inside for _, inside in held)
                 out += [(host, digest, key, inside, marked and not inside, _short("\x00".join(texts)), len(texts)) for (key, inside), texts in held.items()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32()]
@@ -286,11 +300,12 @@ def main_text(page: str | None, noise: frozenset[int], stays: frozenset[int] = f
     """Blocks of a page outside ``noise``, joined by a space; beside text in articles, those in ``stays``.
 
     Where the plain text beside articles outweighs theirs, it stays too.  If names would remove all text
-    of a page, they do not count.
+    of a page, they do not count, nor does the tree if it would.
     """
     root = parse(page or "")
     found = list(blocks(root)) or list(blocks(root, by_name=False))
-    left = [(key, text, inside) for key, text, inside, share in found if key not in noise and (inside or share <= LINK_SHARE)]
+    plain = [(key, text, inside) for key, text, inside, share in found if inside or share <= LINK_SHARE]
+    left = [x for x in plain if x[0] not in noise] or plain
     marked = sum(len(text) for _, text, inside in left if inside)
     if marked and sum(len(text) for _, text, inside in left if not inside) <= max(marked, OUTWEIGHS):
         left = [(key, text, inside) for key, text, inside in left if inside or key in stays]

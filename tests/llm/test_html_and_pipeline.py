@@ -76,6 +76,19 @@ def test_the_tree_judges_articles(spark):
     assert got == {k: f"{b} Teaser {k}" for k, b in enumerate(body)}
 
 
+def test_near_copies_of_a_page_count_once(spark):
+    """Copies that differ in adverts, comments, scripts or a small counter keep their body; other pages of the host still tell its template."""
+    near = "<script>track({k})</script><!-- ad {k} --><div class=ad>Advert {k}</div><div class=x2>One body with quite some words of its own</div>"
+    body = "One body with quite some words of its own"
+    assert extracted(spark, [near.format(k=k) for k in range(4)]) == dict.fromkeys(range(4), body)
+    assert extracted(spark, [near.format(k=k) + f"<p>{k}</p>" for k in range(4)]) == {k: f"{body} {k}" for k in range(4)}
+    top = "<div class=x1>Welcome to our site, read on</div>"
+    story = [f"Story {k} has its own words {k * 7}" for k in range(12)]
+    got = extracted(spark, [top + near.format(k=k) for k in range(88)] + [f"{top}<div class=x2>{s}</div>" for s in story])
+    assert got == {k: body if k < 88 else story[k - 88] for k in range(100)}
+    assert H.main_text("<div>all of it</div>", frozenset(key for key, *_ in H.blocks(H.parse("<div>all of it</div>")))) == "all of it"
+
+
 def test_text_that_outweighs_an_article_stays():
     body = "A body of many words. " * 20
     assert H.main_text(f"<div>{body}</div><article>Teaser</article>", NONE) == f"{body}Teaser"
