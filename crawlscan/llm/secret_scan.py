@@ -1,9 +1,11 @@
 """Secret scanning: three fixed patterns, and sliding-window entropy over candidate strings.
 
 A candidate is a run of token characters of at least ``WINDOW``.  Within it each character class (hex
-digits, letters and digits, base64) has its own runs, and a window slides over each run with
+digits, letters and digits, the same in one case, base64) has its own runs, and a window slides over each run with
 incremental counts: one character enters, one leaves, and the sum of c * log2(c) changes by a table
-lookup.  Windows at or over the class's threshold merge into spans.  Spans that touch a fixed-pattern
+lookup.  Windows at or over the class's threshold merge into spans, which count if they mix what the
+class asks for: digits with letters of both cases, or, in one case, digits on both sides of letters (so
+words with a year or a number at one place do not count).  Spans that touch a fixed-pattern
 span add nothing, and the allow-list suppresses known harmless strings.
 """
 
@@ -29,10 +31,12 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
-#: class -> (its runs, characters that a window must mix, bits per character that a window needs).
+#: class -> (its runs, characters that a span must mix, bits per character that a window needs).
 CLASSES = (
     (re.compile(r"[0-9A-Fa-f]{20,}"), (re.compile(r"[0-9]"), re.compile(r"[A-Fa-f]")), 3.2),
     (re.compile(r"[A-Za-z0-9]{20,}"), (re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")), 3.6),
+    (re.compile(r"(?<![a-z])[A-Z0-9]{20,}(?![a-z])"), (re.compile(r"[0-9][A-Z]+[0-9]"),), 3.3),
+    (re.compile(r"(?<![A-Z])[a-z0-9]{20,}(?![A-Z])"), (re.compile(r"[0-9][a-z]+[0-9]"),), 3.3),
     (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), (re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")), 3.8),
 )
 #: Strings that never count as entropy findings.

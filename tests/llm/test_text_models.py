@@ -141,6 +141,17 @@ def test_method_spans():
     assert secret_scan.redacted(f"a {key} b password=abcdef c") == "a [SECRET] b [SECRET] c"
 
 
+@pytest.mark.parametrize("key", ["K5QX3MZTN7WBJ2YHRC4VGPD6LUAF7OSE", "q7zx9lk2vb8nw4tj6rm1yc3hd5p0usgi", "JBSWY3DPEHPK3PXPNQ4TR2KZ", "w3k9x0qz7m2v8t4p1s6h"])
+def test_keys_of_one_case(key):
+    base, more = secret_scan.spans(f"key {key} and more")
+    assert base == [] and more == [(4, 3, 4 + len(key))]
+    assert secret_scan.redacted(f"a {key} b") == "a [SECRET] b"
+
+
+def test_words_of_one_case_with_a_number_are_no_keys():
+    assert secret_scan.spans("thequarterlyreportof2024forshareholders CHAPTERTWELVE12OFTHELONGBOOK")[1] == []
+
+
 def test_scan_and_redact(spark):
     df = spark.createDataFrame([(k, t, k) for k, t in enumerate([*SECRETS, None])], "doc_id long, text string, spans int")
     got = {r["doc_id"]: r for r in secret_scan.scan(df).collect()}
