@@ -1,12 +1,12 @@
 """Secret scanning: three fixed patterns, and sliding-window entropy over candidate strings.
 
-A candidate is a run of token characters of at least ``WINDOW``.  Within it each character class (hex
-digits, letters and digits, the same in one case, base64) has its own runs, and a window slides over each run with
-incremental counts: one character enters, one leaves, and the sum of c * log2(c) changes by a table
-lookup.  Windows at or over the class's threshold merge into spans, which count if they mix what the
-class asks for: digits with letters of both cases, or, in one case, digits on both sides of letters (so
-words with a year or a number at one place do not count).  Spans that touch a fixed-pattern
-span add nothing, and the allow-list suppresses known harmless strings.
+A candidate is a run of token characters of at least ``WINDOW``, less what fixed-pattern spans cover.
+Within it each character class (hex digits, letters and digits, the same in one case, base64) has its
+own runs, and a window slides over each run with incremental counts: one character enters, one leaves,
+and the sum of c * log2(c) changes by a table lookup.  Windows at or over the class's threshold merge
+into spans, which count if they mix what the class asks for: digits with letters of both cases, or, in
+one case, digits on both sides of letters (so words with a year or a number at one place do not count).
+The allow-list suppresses known harmless strings.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 CLASSES = (
     (re.compile(r"[0-9A-Fa-f]{20,}"), (re.compile(r"[0-9]"), re.compile(r"[A-Fa-f]")), 3.2),
     (re.compile(r"[A-Za-z0-9]{20,}"), (re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")), 3.6),
-    (re.compile(r"(?<![a-z])[A-Z0-9]{20,}(?![a-z])"), (re.compile(r"[0-9][A-Z]+[0-9]"),), 3.3),
-    (re.compile(r"(?<![A-Z])[a-z0-9]{20,}(?![A-Z])"), (re.compile(r"[0-9][a-z]+[0-9]"),), 3.3),
+    (re.compile(r"[A-Z0-9]{20,}"), (re.compile(r"[0-9][A-Z]+[0-9]"),), 3.3),
+    (re.compile(r"[a-z0-9]{20,}"), (re.compile(r"[0-9][a-z]+[0-9]"),), 3.3),
     (re.compile(r"[A-Za-z0-9+/_=-]{20,}"), (re.compile(r"[0-9]"), re.compile(r"[A-Z]"), re.compile(r"[a-z]")), 3.8),
 )
 #: Strings that never count as entropy findings.
@@ -73,21 +73,33 @@ def entropy_spans(run: str, threshold: float) -> list[tuple[int, int]]:
     return out
 
 
+def _uncovered(first: int, last: int, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of a range that no base span, in order of their starts, covers."""
+    for a, _, b in base:
+        if b > first and a < last:
+            if a > first:
+                yield first, a
+            first = b
+    if first < last:
+        yield first, last
+
+
 def _method_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         if any(p.fullmatch(m[0]) for p in ALLOWED):
             continue
-        for runs, needs, threshold in CLASSES:
-            for r in runs.finditer(m[0]):
-                found += [(m.start() + r.start() + a, m.start() + r.start() + b) for a, b in entropy_spans(r[0], threshold) if all(n.search(r[0], a, b) for n in needs)]
+        for first, last in _uncovered(m.start(), m.end(), base):
+            for runs, needs, threshold in CLASSES:
+                for r in runs.finditer(text[first:last]):
+                    found += [(first + r.start() + a, first + r.start() + b) for a, b in entropy_spans(r[0], threshold) if all(n.search(r[0], a, b) for n in needs)]
     merged: list[tuple[int, int]] = []
     for a, b in sorted(found):
         if merged and a <= merged[-1][1]:
             merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
         else:
             merged.append((a, b))
-    return [(a, 3, b) for a, b in merged if not any(a < e and s < b for s, _, e in base)]
+    return [(a, 3, b) for a, b in merged]
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
