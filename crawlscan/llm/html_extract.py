@@ -2,10 +2,10 @@
 
 Pages of one host are merged: every block-level branch is known by its path of tags, classes and ids,
 and each style node keeps how many of the host's pages show it and how often each of its contents
-(text and link target pattern) occurs.  The importance of a branch is one minus the normalised entropy
+(the texts right under it; link targets are not read) occurs.  The importance of a branch is one minus the normalised entropy
 of its contents over the pages: contents that repeat across pages spread evenly and score near 0,
-contents of one page score 1; presentation counts likewise, by the entropy of the layouts seen under the
-branch.  Copies of a page count once: pages of a host whose longest texts, up to nine tenths of all outside named
+contents of one page score 1; presentation counts likewise, by the entropy of how many texts stand
+right under the branch.  Each branch is judged by its own texts, not with its children.  Copies of a page count once: pages of a host whose longest texts, up to nine tenths of all outside named
 noise, are the same.  Branches under the threshold are removed from each page.
 
 Further rules hold on every page, also for hosts with too few pages to compare: branches that name
