@@ -9,7 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _RNG = np.random.default_rng(20240607)
 _BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -20,7 +21,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Separators of bare words: ASCII other than letters and digits.
 NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_powers: list[np.ndarray] = []
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -42,14 +43,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = max(SLICE_BYTES + 1, n + 1)
-    if size not in _powers:
-        _powers.clear()
-        up, down = np.full(size, _BASE, U64), np.full(size, _BASE_INVERSE, U64)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for the positions of a piece."""
+    if not _powers:
+        up, down = np.full(PIECE_BYTES + 1, _BASE, U64), np.full(PIECE_BYTES + 1, _BASE_INVERSE, U64)
         up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+        _powers.extend((np.cumprod(up), np.cumprod(down)))
+    return _powers[0], _powers[1]
+
+
+def _sums(part: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(part) + 1, U64)
+    np.cumsum(_BYTE_CODE[part] * _tables()[0][: len(part)], out=sums[1:])
+    return sums
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,34 +71,68 @@ def word_hashes(column: pa.Array, separators: np.ndarray = _SPACE, prefixes: tup
 
     ``separators`` marks the bytes between words; by default space and U+0009..U+000D.  For each
     number in ``prefixes`` an array follows with the hashes of the words' first so many bytes.
+
+    Bytes are worked through in pieces, so besides the text only eight bytes a word are held, however
+    long a row is.  Pieces end between words or rows; a word that fills a piece goes on in the next.
     """
     data, offsets = text_bytes(column)
-    n = len(data)
-    if not n:
-        return np.zeros(0, U64), np.zeros(len(offsets), np.int64), *(np.zeros(0, U64) for _ in prefixes)
-    solid = ~separators[data]
-    starts, ends = solid.copy(), solid.copy()
-    starts[1:] &= ~solid[:-1]
-    ends[:-1] &= ~solid[1:]
-    first = offsets[:-1][np.diff(offsets) > 0]
-    starts[first] = solid[first]
-    last = offsets[1:][np.diff(offsets) > 0] - 1
-    ends[last] = solid[last]
-    a, b = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _tables(n)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(_BYTE_CODE[_LOWER[data]] * up[:n], out=sums[1:])
-    hashes = mixed((sums[b] - sums[a]) * down[a] + (b - a).astype(U64))
-    starting = (mixed((sums[np.minimum(b, a + p)] - sums[a]) * down[a] + U64((1 << 40) + p)) for p in prefixes)
-    return hashes, np.searchsorted(a, offsets), *starting
+    row_starts = offsets[:-1][np.diff(offsets) > 0]
+    down = _tables()[1]
+    starts, values, sizes, heads = [np.zeros(0, np.int64)], [np.zeros(0, U64)], [np.zeros(0, np.int64)], [[np.zeros(0, U64)] for _ in prefixes]
+    at, goes_on = 0, False
+    while at < len(data):
+        end = min(len(data), at + PIECE_BYTES)
+        solid = ~separators[data[at:end]]
+        rows = row_starts[np.searchsorted(row_starts, at) : np.searchsorted(row_starts, end, "right")] - at
+        goes_next = False
+        if end < len(data) and rows[-1:].tolist() != [end - at]:
+            breaks = max([*(np.flatnonzero(~solid)[-1:] + 1), *rows[-1:]], default=0)
+            goes_next = breaks == 0
+            if breaks:
+                end, solid = at + int(breaks), solid[:breaks]
+        rows = rows[rows < end - at]
+        begins, stops = solid.copy(), solid.copy()
+        begins[1:] &= ~solid[:-1]
+        begins[rows] = solid[rows]
+        stops[:-1] &= ~solid[1:]
+        ends_row = rows[rows > 0] - 1
+        stops[ends_row] = solid[ends_row]
+        a, b = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        sums = _sums(_LOWER[data[at:end]])
+        value, size = (sums[b] - sums[a]) * down[a], b - a
+        head = [mixed((sums[np.minimum(b, a + p)] - sums[a]) * down[a] + U64((1 << 40) + p)) for p in prefixes]
+        skip = int(goes_on and len(a) > 0 and a[0] == 0)
+        if skip:
+            values[-1][-1:] += value[:1] * U64(pow(int(_BASE), int(sizes[-1][-1]), 1 << 64))
+            sizes[-1][-1] += size[0]
+        if len(a) > skip:
+            starts.append(a[skip:] + at)
+            values.append(value[skip:])
+            sizes.append(size[skip:])
+            for kept, h in zip(heads, head, strict=True):
+                kept.append(h[skip:])
+        at, goes_on = end, goes_next
+    hashes = np.concatenate(values)
+    hashes += np.concatenate(sizes).astype(U64)
+    return mixed(hashes), np.searchsorted(np.concatenate(starts), offsets), *(np.concatenate(h) for h in heads)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end)."""
-    up, down = _tables(len(data))
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    """64-bit hashes of byte spans [start, end) of at most ``PIECE_BYTES``, in order and without overlap."""
+    down, out, k = _tables()[1], np.zeros(len(starts), U64), 0
+    while k < len(starts):
+        stop = max(k + 1, int(np.searchsorted(ends, starts[k] + PIECE_BYTES, side="right")))
+        sums = _sums(data[starts[k] : ends[stop - 1]])
+        a, b = starts[k:stop] - starts[k], ends[k:stop] - starts[k]
+        out[k:stop] = (sums[b] - sums[a]) * down[a] + (b - a).astype(U64)
+        k = stop
+    return mixed(out)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; ``x`` is used up."""
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])]
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
@@ -110,6 +150,7 @@ def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
             continue
         h = words[a : b - k + 1] * odd[0]
         for j in range(1, k):
-            h = (h ^ (h >> U64(29))) + words[a + j : b - k + 1 + j] * odd[j]
-        out.append(np.unique(mixed(h + U64(k))))
+            h ^= h >> U64(29)
+            h += words[a + j : b - k + 1 + j] * odd[j]
+        out.append(_distinct(mixed(h + U64(k))))
     return out

@@ -14,6 +14,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A side is broadcast only when its counted rows stay at or under this bound.
 BROADCAST_ROWS = 200_000
+WAVES = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,9 +44,14 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_dir(spark)}/crawlscan-{name}-{uuid.uuid4().hex}"
 
-    def save(self, df: DataFrame, key: str, codec: str = "zstd") -> DataFrame:
-        """Write ``df`` and return it as read back."""
+    def save(self, df: DataFrame, key: str, codec: str = "zstd", *, few: bool = False) -> DataFrame:
+        """Write ``df`` and return it as read back.
+
+        ``few`` is for results of shuffles, which ``few_tasks`` write, as a file costs far more than a
+        shuffle partition.
+        """
         at = f"{self.path}/{key}"
+        df = few_tasks(df) if few else df
         before = self.spark.conf.get(CLEANUP, None)
         self.spark.conf.set(CLEANUP, "true")
         try:
@@ -54,10 +60,32 @@ class Workspace:
             self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(at)
 
+    def result(self, df: DataFrame, key: str) -> DataFrame:
+        """Store the last table of a call and delete all others."""
+        out = self.save(df, key, few=True)
+        fs, path = self._fs(self.path)
+        for s in fs.listStatus(path):
+            if s.getPath().getName() != key:
+                fs.delete(s.getPath(), True)
+        return out
+
+    def _fs(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
     def drop(self, key: str) -> None:
         """Delete a table that nothing reads any more."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{key}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        fs, path = self._fs(f"{self.path}/{key}")
+        fs.delete(path, True)
+
+
+def few_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in at most ``WAVES`` tasks a core, each of which works through shuffle partitions in turn.
+
+    A task needs no more memory than for one partition, and what each costs besides its rows (a file, a
+    call of Python) falls.
+    """
+    return df.coalesce(WAVES * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -69,6 +97,11 @@ def small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text; null counts as none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -8,15 +8,18 @@
    32 has a probability below 1e-7), and two classes that do so share a pair among any K - MATCHES + 1
    of each under one common order.  Ordered by rarity, pairs that occur once fill that prefix first and
    need no posting; most classes thereby leave the join, and frequent pairs are skipped.
-3. Count: candidates from the posting lists are kept if their signatures agree on ``MATCHES`` coordinates.
-4. Confirm: candidates are compared on full shingle sets, the shared side once per task, in a stream.
-5. Components: a list's members are first compared with its pivot, the member that shares most with
-   all others, so large groups of near copies join by as many links as they have members.  A pivot's
-   group is every member of the lists it leads; both sides of any link are in one such group.  Members
-   of a group that are not yet in its largest component are then compared with the whole group, by
-   blocks: on signatures first, and those with a partner above the threshold on full sets.  A block
-   of comparisons gives the links of a spanning forest only.  Pairs within a component cannot change
-   the result, so no link is lost and no group is expanded into pairs.
+3. Stars: a list's members are first compared with its pivot, the member that shares most with all
+   others: collisions of their signatures are counted, those at the threshold are confirmed on full
+   shingle sets, the pivot's once per task, in a stream.  So large groups of near copies join by as
+   many links as they have members.
+4. Blocks: a pivot's group is every member of the lists it leads; both sides of any link are in one such
+   group.  Members that are not yet in the group's largest component are compared with the whole
+   group, by blocks.  A block has an inverted index of its coordinate-value pairs: for each member the
+   K - MATCHES + 1 shortest of its lists are merged, which finds every candidate, and the longer lists
+   are skipped and only looked up for candidates.  Members with a candidate at the threshold go on to
+   full sets, where a block gives the links of a spanning forest only.
+5. Components: links of stars, then links between their components.  Pairs within a component cannot
+   change the result, so no link is lost and no group is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrow_text import U64, by_bytes, mixed, shingle_sets
-from .common import Workspace, small
-from .components import components
+from .common import Workspace, few_tasks, small
+from .components import components, union_find
 
 K, MATCHES = 64, 32
 PREFIX = K - MATCHES + 1
@@ -87,18 +90,24 @@ def tokens(classes: DataFrame) -> DataFrame:
     return classes.select("rep", "sig").mapInArrow(run, "token long, rep long")
 
 
-def postings(classes: DataFrame) -> DataFrame:
+def postings(classes: DataFrame, ws: Workspace) -> DataFrame:
     """(token, rep, weight) of each class's prefix, without tokens that occur once.
 
-    The weight of a class is how often others share its tokens.
+    The weight of a class is how often others share its tokens.  Counts are stored, so that both
+    sides of the join are plain shuffles and a token that very many classes share is split.
     """
-    counts = tokens(classes).groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1")
+    counts = ws.save(tokens(classes).groupBy("token").agg(F.count(F.lit(1)).alias("freq")).filter("freq > 1"), "counts", few=True)
     shared = tokens(classes).join(counts, "token")
     by_class = shared.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("freq", "token"))).alias("ts"), F.sum("freq").alias("weight"))
     kept = by_class.withColumn("keep", F.lit(PREFIX - K) + F.size("ts")).filter("keep > 0")
     return kept.select(F.explode(F.slice("ts", F.lit(1), F.col("keep"))).alias("t"), "rep", "weight").select("t.token", "rep", "weight")
 
 
+def _top(what: str, size: str) -> Column:
+    """The ``what`` with the largest ``size``, ties by a hash: a maximum by a long, which hashing aggregates."""
+    return F.max_by(what, F.shiftleft(F.least(F.col(size), F.lit((1 << 31) - 1)), 32) + F.xxhash64(what).bitwiseAND(F.lit((1 << 32) - 1)))
+
+
 def collide(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose signatures agree on at least ``MATCHES`` coordinates."""
 
@@ -108,7 +117,7 @@ def collide(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
             yield batch.filter(pa.array((x == y).sum(1) >= MATCHES)).select(["a", "b"])
 
     both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return few_tasks(both.select("a", "b", "sa", "sb")).mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -138,37 +147,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     dealt = pivots.union(members).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _forest(pairs: Iterator[tuple[int, int]], component: dict[int, int]) -> Iterator[tuple[int, int]]:
-    """The pairs that join what is not yet joined, starting from known components."""
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while parent.get(x, x) != x:
-            parent[x] = parent.get(parent[x], parent[x])
-            x = parent[x]
-        return x
-
-    for a, b in pairs:
-        x, y = root(component[a]), root(component[b])
-        if x != y:
-            parent[x] = y
-            yield a, b
+    return few_tasks(dealt).mapInArrow(run, "a long, b long")
 
 
-def dealt_blocks(members: DataFrame, block: int) -> DataFrame:
+def dealt_blocks(members: DataFrame, block: int, ws: Workspace, name: str) -> DataFrame:
     """Members (p, x, component, ...) of each pivot's group dealt into blocks of comparisons (p, i, j).
 
     The minor side (not in the group's largest component) has rows i, the whole group columns j; each
     block holds at most about ``block`` rows of either side.  ``role`` is 0 for rows of a group that is
-    one block, 1 for the minor side, 2 for the whole.
+    one block, 1 for the minor side, 2 for the whole.  The shapes of the groups are stored, so they are
+    broadcast if few, and otherwise the join with them is of plain shuffles and hot groups are split.
     """
     per = members.groupBy("p", "component").agg(F.count(F.lit(1)).alias("n"))
-    shape = per.groupBy("p").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("top")).filter("top.n < n")
-    shape = shape.select("p", F.col("top.component").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / block).alias("rows"), F.ceil(F.col("n") / block).alias("columns"))
-    m = members.join(shape, "p").withColumn("minor", F.col("component") != F.col("major"))
+    shape = per.groupBy("p").agg(F.sum("n").alias("n"), F.max("n").alias("top"), _top("component", "n").alias("major")).filter("top < n")
+    shape = shape.select("p", "major", F.ceil((F.col("n") - F.col("top")) / block).alias("rows"), F.ceil(F.col("n") / block).alias("columns"))
+    m = members.join(small(ws.save(shape, f"{name}-shape", few=True)), "p").withColumn("minor", F.col("component") != F.col("major"))
     one = (F.col("rows") == 1) & (F.col("columns") == 1)
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     spot = lambda i, j, role: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(role).alias("role"))
@@ -203,35 +196,56 @@ def _sides(block: pa.Table) -> tuple[np.ndarray, ...]:
     return np.flatnonzero((role == 1) | ((role == 0) & minor)), np.flatnonzero(role != 1), np.asarray(block["x"]), np.asarray(block["component"])
 
 
-def active(members: DataFrame, sigs: DataFrame) -> DataFrame:
+def collisions(sig: np.ndarray, other: np.ndarray) -> Iterator[np.ndarray]:
+    """For each row of ``sig`` in turn, the rows of ``other`` that agree with it on ``MATCHES`` coordinates.
+
+    The K - MATCHES + 1 shortest posting lists of a row are merged: who agrees on ``MATCHES`` coordinates
+    is in one of them.  The others are skipped, and looked up for those candidates alone.
+    """
+    place = np.arange(K, dtype=np.int64) << 32
+    posted = (other.astype(np.int64) + place).ravel()
+    order = np.argsort(posted, kind="stable")
+    posted, owner = posted[order], order // K
+    for row in sig:
+        own = row.astype(np.int64) + place
+        lo, hi = np.searchsorted(posted, own, "left"), np.searchsorted(posted, own, "right")
+        lists = np.argsort(hi - lo, kind="stable")
+        short, long = lists[:PREFIX], lists[PREFIX:]
+        short = short[hi[short] > lo[short]]
+        if not len(short):
+            yield short
+            continue
+        found, counts = np.unique(np.concatenate([owner[lo[c] : hi[c]] for c in short]), return_counts=True)
+        near = counts + K - PREFIX >= MATCHES
+        found, counts = found[near], counts[near]
+        yield found[counts + (other[found][:, long] == row[long]).sum(1) >= MATCHES]
+
+
+def active(members: DataFrame, sigs: DataFrame, ws: Workspace) -> DataFrame:
     """Members (p, x) with a partner in another component of the group that agrees on ``MATCHES`` coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _per_block(batches):
             a, b, x, component = _sides(block)
             sig = np.frombuffer(b"".join(block["sig"].to_pylist()), np.uint32).reshape(-1, K)
-            other = sig[b].T.copy()
             hit = np.zeros(len(x), bool)
-            for k in a:
-                alike = np.zeros(len(b), np.int16)
-                for c in range(K):
-                    alike += sig[k, c] == other[c]
-                good = (alike >= MATCHES) & (component[b] != component[k])
-                hit[b[good]] = True
-                hit[k] |= good.any()
+            for k, found in zip(a, collisions(sig[a], sig[b]), strict=True):
+                good = b[found][component[b[found]] != component[k]]
+                hit[good] = True
+                hit[k] |= len(good) > 0
             found = pa.array(x[hit], pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block["p"][0].as_py()), pa.int64()), found], names=["p", "x"])
 
-    rows = dealt_blocks(members, SIG_BLOCK).join(sigs.select(F.col("rep").alias("x"), "sig"), "x").select("p", "i", "j", "role", "minor", "x", "component", "sig")
-    return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, "p long, x long").distinct()
+    rows = dealt_blocks(members, SIG_BLOCK, ws, "active").join(sigs.select(F.col("rep").alias("x"), "sig"), "x").select("p", "i", "j", "role", "minor", "x", "component", "sig")
+    return few_tasks(rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")).mapInArrow(run, "p long, x long").distinct()
 
 
-def block_links(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+def block_links(members: DataFrame, texts: DataFrame, width: int, percent: int, ws: Workspace) -> DataFrame:
     """Links (a, b) between components of a group, on full shingle sets: a spanning forest of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _per_block(batches):
-            a, b, x, component = _sides(block)
+            a, b, _, component = _sides(block)
             sets = [s for part in by_bytes(iter(block.to_batches()), "text") for s in shingle_sets(part.column("text"), width)]
             sizes = np.array([len(s) for s in sets])
             owner = np.repeat(np.arange(len(b)), sizes[b])
@@ -246,13 +260,13 @@ def block_links(members: DataFrame, texts: DataFrame, width: int, percent: int)
                     at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
                     common = np.bincount(owner[at], minlength=len(b))
                     good = (100 * common >= percent * (sizes[k] + sizes[b] - common)) & (common > 0) & (component[b] != component[k])
-                    yield from ((int(x[k]), int(x[b[g]])) for g in np.flatnonzero(good))
+                    yield from ((int(component[k]), int(component[b[g]])) for g in np.flatnonzero(good))
 
-            links = list(_forest(pairs(), dict(zip(x.tolist(), component.tolist(), strict=True))))
+            links = list(union_find(pairs()))
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], names=["a", "b"])
 
-    rows = dealt_blocks(members, TEXT_BLOCK).join(texts.withColumnRenamed("doc_id", "x"), "x").select("p", "i", "j", "role", "minor", "x", "component", "text")
-    return rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j").mapInArrow(run, "a long, b long")
+    rows = dealt_blocks(members, TEXT_BLOCK, ws, "block").join(texts.withColumnRenamed("doc_id", "x"), "x").select("p", "i", "j", "role", "minor", "x", "component", "text")
+    return few_tasks(rows.repartition("p", "i", "j").sortWithinPartitions("p", "i", "j")).mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -271,32 +285,31 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     digest = ["n_shingles", "digest_a", "digest_b"]
     signed = ws.save(sign(docs, width), "signed")
     full = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = ws.save(full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
-    posts = ws.save(postings(classes), "posts")
+    classes = ws.save(full.groupBy(*digest).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes", few=True)
+    posts = ws.save(postings(classes, ws), "posts", few=True)
 
     def texts_of(ids: DataFrame, name: str) -> DataFrame:
-        """Texts of the given doc_ids, stored."""
-        found = small(ws.save(ids.distinct(), f"{name}-ids"))
-        return ws.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id").dropDuplicates(["doc_id", "text"]), f"{name}-texts")
-
-    pivots = posts.groupBy("token").agg(F.max(F.struct("weight", F.col("rep").alias("p"))).alias("top")).select("token", "top.p")
-    group = ws.save(posts.join(pivots, "token").select("p", F.col("rep").alias("x")).distinct(), "group")
-    ws.drop("posts")
-    hits = ws.save(collide(group.filter("p <> x").select(F.col("p").alias("a"), F.col("x").alias("b")), classes), "hits")
+        """Texts of the given doc_ids, stored; rows that repeat both count once."""
+        found = small(ws.save(ids.distinct(), f"{name}-ids", few=True))
+        return ws.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found, "doc_id").dropDuplicates(["doc_id", "text"]), f"{name}-texts", few=True)
+
+    pivots = ws.save(posts.groupBy("token").agg(_top("rep", "weight").alias("p")), "pivots", few=True)
+    group = ws.save(posts.join(pivots, "token").select("p", F.col("rep").alias("x")).distinct(), "group", few=True)
+    hits = ws.save(collide(group.filter("p <> x").select(F.col("p").alias("a"), F.col("x").alias("b")), classes), "hits", few=True)
     salts = hits.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).alias("salts"))
+    salts = small(ws.save(salts, "salts", few=True))
     texts = texts_of(hits.select(F.explode(F.array("a", "b")).alias("doc_id")), "star")
-    links = ws.save(confirm(hits.join(salts, "a"), texts, width, percent), "star-links")
-    found = components(links, ws, "star-cc").withColumnRenamed("node", "x")
-
-    members = group.join(found, "x", "left").withColumn("component", F.coalesce("component", "x"))
-    members = ws.save(members, "members")
-    alive = ws.save(active(members, classes).join(members, ["p", "x"]), "active")
-    more = ws.save(block_links(alive, texts_of(alive.select(F.col("x").alias("doc_id")), "block"), width, percent), "block-links")
-    found = components(links.union(more), ws, "cc")
-    for key in ("group", "hits", "members", "active", "star-ids", "star-texts", "block-ids", "block-texts"):
-        ws.drop(key)
-
-    of_class = classes.select(*digest, "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("class_component"))
+    links = confirm(hits.join(salts, "a"), texts, width, percent)
+    stars = small(components(links, ws, "star").select(F.col("node").alias("x"), "component"))
+
+    members = ws.save(group.join(stars, "x", "left").withColumn("component", F.coalesce("component", "x")), "members", few=True)
+    alive = ws.save(active(members, classes, ws).join(members, ["p", "x"]), "active", few=True)
+    more = block_links(alive, texts_of(alive.select(F.col("x").alias("doc_id")), "block"), width, percent, ws)
+    joined = small(components(more, ws, "block").select(F.col("node").alias("component"), F.col("component").alias("whole")))
+
+    of_class = classes.select(*digest, F.col("rep").alias("x")).join(stars, "x", "left").withColumn("component", F.coalesce("component", "x")).join(joined, "component", "left")
+    of_class = of_class.select(*digest, F.coalesce("whole", "component").alias("class_component"))
     joined = signed.select("doc_id", *digest).join(of_class, digest, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")))
-    return joined.withColumn("component_id", component).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = joined.withColumn("component_id", component).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return ws.result(out, "components")

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from crawlscan.llm import components, minhash, vector_dedup
+from crawlscan.llm import arrow_text, components, minhash, vector_dedup
 from crawlscan.llm.arrow_text import shingle_sets, word_hashes
 from crawlscan.llm.common import Workspace
 
@@ -99,6 +99,24 @@ def test_word_hashes_match_words():
     assert [len(s) for s in shingle_sets(texts.slice(2), 2)] == [1, 1, 1]
 
 
+def test_words_are_the_same_whatever_the_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = pa.array([None if k % 7 == 3 else "".join(rng.choice("aB \n1é#") for _ in range(rng.choice([0, 3, 40, 400]))) for k in range(60)] + ["x" * 90 + " " + "y" * 33])
+    whole = word_hashes(texts), word_hashes(texts, arrow_text.NOT_ALNUM, (5, 6, 7))
+    monkeypatch.setattr(arrow_text, "PIECE_BYTES", 16)
+    monkeypatch.setattr(arrow_text, "_powers", [])
+    pieces = word_hashes(texts), word_hashes(texts, arrow_text.NOT_ALNUM, (5, 6, 7))
+    assert all(np.array_equal(x, y) for one, other in zip(whole, pieces, strict=True) for x, y in zip(one, other, strict=True))
+
+
+def test_merged_lists_count_all_collisions():
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 3, (80, minhash.K)).astype(np.uint32)
+    sig[40:] = np.where(rng.random((40, minhash.K)) < 0.6, sig[:40], rng.integers(0, 1000, (40, minhash.K))).astype(np.uint32)
+    want = (sig[:, None, :] == sig[None]).sum(2) >= minhash.MATCHES
+    assert [found.tolist() for found in minhash.collisions(sig, sig)] == [np.flatnonzero(w).tolist() for w in want]
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(3)
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 200 + k) for k in range(30)] + [(7, 7)] + [(rng.randrange(300, 340), rng.randrange(300, 340)) for _ in range(30)]
@@ -106,6 +124,7 @@ def test_components_of_long_chains(spark):
     want = components_of({x for e in links for x in e}, links)
     assert all(got.get(k, k) == v for k, v in want.items())
     assert components.components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t"), "t").count() == 0
+    assert dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long"), Workspace(spark, "t"), "t", finish=0).collect())) == got
 
 
 def vectors():
