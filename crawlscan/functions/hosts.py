@@ -61,3 +61,12 @@ def filename(uri: Column) -> Column:
 def host_version(onion: Column) -> Column:
     """2 or 3, from the length of the host."""
     return F.when(F.length(onion) == 22, 2).when(F.length(onion) == 62, 3)
+
+
+# The characters of Unicode's White_Space property.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def trimmed(line: Column | str) -> Column:
+    """A line without white space at either end."""
+    return F.btrim(line, F.lit(WHITE_SPACE))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlscan.functions.hosts import filename
+from crawlscan.functions.hosts import filename, trimmed
 from crawlscan.schemas import PATHS
 
 
@@ -16,7 +16,7 @@ def read_paths(spark: SparkSession, path: str) -> DataFrame:
     file cannot be read or names nothing.
     """
     lines = spark.read.text(path).coalesce(1)
-    numbered = lines.select(F.trim("value").alias("uri"), F.monotonically_increasing_id().alias("at")).filter("uri <> ''")
+    numbered = lines.select(trimmed("value").alias("uri"), F.monotonically_increasing_id().alias("at")).filter("uri <> ''")
     out = numbered.select(F.row_number().over(Window.orderBy("at")).alias("idx"), "uri")
     if out.isEmpty():
         raise ValueError(f"{path}: no paths")
@@ -47,6 +47,20 @@ def work_list(paths: DataFrame, processed: DataFrame, limit: int | None = None)
     return (ranked if limit is None else ranked.filter(F.col("rank") <= limit)).select("idx", "uri", "filename")
 
 
+def plan_work(paths: DataFrame, processed: DataFrame, limit: int | None = None) -> tuple[list, int]:
+    """The rows of ``work_list`` in order, and ``skip_count``, from one pass over the list."""
+    ranked = _ranked(paths, processed)
+    ranked = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    item = F.when(~F.col("seen"), F.struct("idx", "uri", "filename"))
+    found = ranked.agg(F.array_sort(F.collect_list(item)).alias("work"), F.count_if("seen").alias("skipped")).first()
+    return found["work"], found["skipped"]
+
+
+def archive_url(uri: Column, base_url: str) -> Column:
+    """Where a listed archive is fetched from."""
+    return F.concat(F.lit(base_url), uri)
+
+
 def skip_count(paths: DataFrame, processed: DataFrame, limit: int | None = None) -> DataFrame:
     """(skipped): processed paths met before the scan of the list ends.
 

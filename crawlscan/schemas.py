@@ -17,6 +17,8 @@ RECORD = T.StructType(
         T.StructField("content_length", T.LongType()),
         T.StructField("body", T.BinaryType()),
         T.StructField("error", T.StringType()),
+        T.StructField("fetch_seconds", T.DoubleType()),
+        T.StructField("read_seconds", T.DoubleType()),
     ]
 )
 JSON_MAP = "map<string,array<struct<url:string,date:string,archive:string>>>"

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import codecs
 import gzip
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
 
-CHUNK = 1 << 20
+CHUNK = LINE = 1 << 20
+#: A body must fit into a row's binary column.  Longer ones are counted through, never held.
+MAX_BODY = (1 << 31) - (1 << 20)
 
 
 class Record(NamedTuple):
@@ -38,21 +42,50 @@ def _headers(lines: list[bytes]) -> tuple[str, str, str, int]:
     return text[0], text[1], text[2], header_number(found[b"content-length"])
 
 
-def _line(stream: BinaryIO) -> bytes:
-    line = stream.readline()
+def _line(stream: BinaryIO, tolerant: bool = False) -> bytes:
+    """The next line; of one beyond ``LINE`` bytes its start, so that bytes without line ends take no memory."""
+    line = part = stream.readline(LINE)
+    decoder = codecs.getincrementaldecoder("utf-8")()
     try:
-        line.decode("utf-8")
+        while not tolerant and part or len(part) == LINE:
+            if not tolerant:
+                decoder.decode(part)
+            if len(part) < LINE or part.endswith(b"\n"):
+                break
+            part = stream.readline(LINE)
+        if not tolerant:
+            decoder.decode(b"", final=True)
     except UnicodeDecodeError as e:
         raise BadArchive(f"a line between records or in a header is not UTF-8: {e.reason}") from e
     return line
 
 
-def _skip(stream: BinaryIO, n: int) -> None:
-    while n > 0:
-        got = len(stream.read(min(n, CHUNK)))
+def _skip(stream: BinaryIO, n: int) -> int:
+    """Read and drop ``n`` bytes; how many there were."""
+    left = n
+    while left > 0:
+        got = len(stream.read(min(left, CHUNK)))
         if not got:
-            return
-        n -= got
+            break
+        left -= got
+    return n - left
+
+
+def _take(stream: BinaryIO, n: int) -> bytes:
+    """Up to ``n`` bytes, in chunks, so that a length that is not there takes no memory."""
+    parts, left = [], n
+    while left > 0:
+        part = stream.read(min(left, CHUNK))
+        if not part:
+            break
+        parts.append(part)
+        left -= len(part)
+    return b"".join(parts)
+
+
+def _too_long(stream: BinaryIO, length: int, held: int = 0) -> BadArchive | None:
+    """Why a body over ``MAX_BODY`` cannot be given; None if the stream ends in it.  Nothing is held."""
+    return BadArchive(f"a response of {length} bytes is too long for a row") if _skip(stream, length - held) == length - held else None
 
 
 def read_stream(stream: BinaryIO, *, every_type: bool = False, with_body: bool = True, tolerant: bool = False) -> Iterator[Record]:
@@ -60,29 +93,33 @@ def read_stream(stream: BinaryIO, *, every_type: bool = False, with_body: bool =
 
     A record starts at a line with ``WARC/``; other lines between records are skipped; headers end at a
     blank line, with either line end.  Without ``every_type`` only responses with a body are given and
-    others are skipped unread.  A response cut short, a header that is not UTF-8 or a damaged
-    compression raises ``BadArchive``; with ``tolerant`` such records are passed over where possible.
+    others are skipped unread.  A response cut short, a header that is not UTF-8, a damaged compression,
+    or a length beyond 63 bits raises ``BadArchive``.  With ``tolerant`` such records are passed over: what
+    can be read is given and the archive counts as read, however little of it that is.
     """
-    line_of = (lambda s: s.readline()) if tolerant else _line
     try:
         while True:
-            line = line_of(stream)
+            line = _line(stream, tolerant)
             if not line:
                 return
             if not line.startswith(b"WARC/"):
                 continue
             lines = []
             while True:
-                line = line_of(stream)
+                line = _line(stream, tolerant)
                 if not line:
                     return
                 if not line.strip():
                     break
                 lines.append(line)
             kind, uri, date, length = _headers(lines)
+            if length >> 63:
+                raise BadArchive(f"a record claims {length} bytes")
             wanted = kind.lower() == "response" and length > 0
             if wanted and with_body:
-                body = stream.read(length)
+                if length > MAX_BODY:
+                    raise _too_long(stream, length) or BadArchive(f"a response of {length} bytes is cut short")
+                body = _take(stream, length)
                 if len(body) < length:
                     if tolerant:
                         return
@@ -92,32 +129,65 @@ def read_stream(stream: BinaryIO, *, every_type: bool = False, with_body: bool =
             if wanted or every_type:
                 yield Record(kind, uri, date, length, None)
             _skip(stream, length)
-    except (EOFError, OSError) as e:
+    except (EOFError, OSError, zlib.error) as e:
         if not tolerant:
             raise BadArchive(f"damaged compression: {e}") from e
+    except BadArchive:
+        if not tolerant:
+            raise
 
 
-def read_lenient(data: bytes, *, every_type: bool = False, with_body: bool = True) -> Iterator[Record]:
-    """Records of decompressed bytes: ``WARC/`` anywhere starts one, a blank CRLF line ends its header.
+def read_lenient(stream: BinaryIO, *, every_type: bool = False, with_body: bool = True) -> Iterator[Record]:
+    """Records of a decompressed stream: ``WARC/`` anywhere starts one, a blank CRLF line ends its header.
 
-    The first response that is cut short ends the scan and what came before stays.
+    The first response that is cut short ends the scan and what came before stays; damaged compression
+    fails the archive.  A window slides over the stream: it holds one header or body, not the archive.
     """
-    at = 0
-    while True:
-        start = data.find(b"WARC/", at)
-        end = data.find(b"\r\n\r\n", start) if start >= 0 else -1
-        if end < 0:
-            return
-        kind, uri, date, length = _headers([x.rstrip(b"\r") for x in data[start:end].split(b"\n")[1:]])
-        body_at = end + 4
-        wanted = kind.lower() == "response" and length > 0
-        if wanted:
-            if body_at + length > len(data):
+    window, ended = bytearray(), False
+
+    def more() -> bool:
+        nonlocal ended
+        part = b"" if ended else stream.read(CHUNK)
+        ended = not part
+        window.extend(part)
+        return not ended
+
+    def find(what: bytes, at: int) -> int:
+        while (k := window.find(what, at)) < 0:
+            at = max(at, len(window) - len(what) + 1)
+            if not more():
+                return -1
+        return k
+
+    try:
+        while True:
+            while (start := window.find(b"WARC/")) < 0:
+                del window[: max(0, len(window) - 4)]
+                if not more():
+                    return
+            del window[:start]
+            end = find(b"\r\n\r\n", 0)
+            if end < 0:
                 return
-            yield Record(kind, uri, date, length, data[body_at : body_at + length] if with_body else None)
-        elif every_type:
-            yield Record(kind, uri, date, length, None)
-        at = min(body_at + length + 4, len(data))
+            kind, uri, date, length = _headers([x.rstrip(b"\r") for x in bytes(window[:end]).split(b"\n")[1:]])
+            del window[: end + 4]
+            if kind.lower() == "response" and length > 0:
+                if length > MAX_BODY:
+                    if failure := _too_long(stream, length, len(window)):
+                        raise failure
+                    return
+                while len(window) < length:
+                    if not more():
+                        return
+                yield Record(kind, uri, date, length, bytes(window[:length]) if with_body else None)
+            elif every_type:
+                yield Record(kind, uri, date, min(length, (1 << 63) - 1), None)
+            past = length + 4 - len(window)
+            del window[: length + 4 if past <= 0 else len(window)]
+            if past > 0:
+                _skip(stream, past)
+    except (EOFError, OSError, zlib.error) as e:
+        raise BadArchive(f"damaged compression: {e}") from e
 
 
 def format_record(warc_type: str, body: bytes, target_uri: str | None = None, warc_date: str | None = None) -> bytes:

@@ -1,14 +1,18 @@
 """Planning, deduplication, merging, state, batch and streaming runs."""
 
+import functools
 import gzip
+import http.server
 import json
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from crawlscan.operators import sources as S
-from crawlscan.plans.batch import run_batch, strategy_options
+from crawlscan.plans.batch import import_earlier, run_batch, strategy_options
 from crawlscan.plans.work import paths_of, read_paths, skip_count, work_list
+from crawlscan.sources import state as state_module
 from crawlscan.sources.fetch import fetch
 from crawlscan.sources.state import State, read_json_results, read_processed_log
 from crawlscan.sources.warc_format import format_record
@@ -145,3 +149,55 @@ def test_fetch(tmp_path):
     with pytest.raises(OSError):
         fetch("b.gz", base_url=base, folder=str(tmp_path / "to"))
     assert sorted(p.name for p in (tmp_path / "to").iterdir()) == ["a.gz"]
+
+
+@pytest.fixture(scope="module")
+def web(tmp_path_factory):
+    """A web server on this machine over a folder."""
+    root = tmp_path_factory.mktemp("web")
+    handler = functools.partial(http.server.SimpleHTTPRequestHandler, directory=str(root))
+    handler.log_message = lambda *_: None
+    with http.server.ThreadingHTTPServer(("127.0.0.1", 0), handler) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        yield root, f"http://127.0.0.1:{server.server_port}/"
+        server.shutdown()
+
+
+@pytest.mark.parametrize("stream", [False, True])
+def test_archives_come_over_http_each_by_its_task(spark, tmp_path, web, stream):
+    """One that is not there, and one that is damaged, leave the others alone."""
+    root, base = web
+    for k in range(3):
+        archive(root, f"{k}.warc.gz", [HOSTS[k]], cut=12 * (k == 2))
+    paths = paths_of(spark, ["0.warc.gz", "none.warc.gz", "1.warc.gz", "2.warc.gz"])
+    options = {"resolve": lambda uri: base + uri} if stream else {"base_url": base, "folder": str(tmp_path / "kept")}
+    row = run_batch(spark, paths, str(tmp_path / "state"), **options).first()
+    assert (row["processed"], row["failed"], row["hosts_new"], row["records"]) == (2, 2, 2, 2)
+    assert row["read_seconds"] > 0 and row["mean_read_seconds"] == row["read_seconds"] / 2 and (row["fetch_seconds"] > 0) == (not stream)
+    assert sorted(r[0] for r in State(spark, str(tmp_path / "state")).processed().collect()) == ["0.warc.gz", "1.warc.gz"]
+    if not stream:
+        assert sorted(p.name for p in (tmp_path / "kept").iterdir()) == ["0.warc.gz", "1.warc.gz", "2.warc.gz"]
+
+
+def test_earlier_results_and_logs_are_imported(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({HOSTS[0]: [{"url": "u", "date": "old", "archive": "1.warc.gz"}]}))
+    (tmp_path / "log").write_text("0.warc.gz\n")
+    state = str(tmp_path / "state")
+    assert import_earlier(spark, state, str(tmp_path / "r.json"), str(tmp_path / "log"))[1:] == (1, 1, 0)
+    uris = [archive(tmp_path, f"{k}.warc.gz", [HOSTS[k - 1]]) for k in (0, 1)]
+    row = run_batch(spark, paths_of(spark, uris), state).first()  # the archive that the results alone name is read
+    assert (row["processed"], row["skipped"], row["hosts_before"], row["hosts_new"], row["sources_new"]) == (1, 1, 1, 0, 1)
+    assert sorted((r["url"], r["date"]) for r in State(spark, state).results().collect()) == [("https://s/0", "2025-01"), ("u", "old")]
+
+
+def test_compaction_keeps_everything(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state_module, "COMPACT_AT", 3)
+    state = State(spark, str(tmp_path / "s"))
+    for k in range(7):
+        rows = spark.createDataFrame([(HOSTS[k % 5], "u", f"d{k}", f"a{k}"), (HOSTS[0], "u", f"d{k}", "a0")], "onion string, url string, date string, archive string")
+        done = state.commit(rows.dropDuplicates(["onion", "url", "archive"]), spark.createDataFrame([(f"a{k}",), ("a0",)], "filename string"))
+        assert done.hosts_before + done.hosts_new == state.hosts_total() == min(k + 1, 5) == state.hosts().count()
+        assert len(state._parts()) < 3
+    assert state.processed().count() == 7
+    assert sorted((r["archive"], r["date"]) for r in state.results().collect()) == [(f"a{k}", f"d{k}") for k in range(7)]
+    assert {p.name for p in (tmp_path / "s" / "results").iterdir()} == set(state._parts())
