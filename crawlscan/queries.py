@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,12 @@ from crawlscan.corpus import crawl, crawl_sql
 from crawlscan.functions.hosts import digits_as_long, extract_hosts, filename, host_version, is_response
 from crawlscan.functions.shared import scratch_dir
 from crawlscan.operators import sources as S
-from crawlscan.plans.batch import run_batch, scan_archives
-from crawlscan.plans.work import paths_of, skip_count, work_list
-from crawlscan.sources.state import State
-from crawlscan.sources.warc import good_records, open_uri, read_warc, write_warc
+from crawlscan.plans.batch import STRATEGIES, import_earlier, run_batch, scan_archives, strategy_options
+from crawlscan.plans.work import archive_url, paths_of, read_paths, skip_count, work_list
+from crawlscan.sources.fetch import open_uri
+from crawlscan.sources.state import State, read_json_results, read_processed_log
+from crawlscan.sources.warc import good_records, read_warc, write_warc
+from crawlscan.sources.warc_format import gzip_member
 from crawlscan.streaming.ingest import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,15 +132,14 @@ def skipped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skip_count(*_listed(spark, sf_dir), _LIMIT)
 
 
-@query(
-    _HITS + ", gens AS (SELECT onion, target_uri AS url, warc_date AS date, archive, record_idx AS k FROM hits WHERE record_idx < 125 "
-    "UNION ALL SELECT onion, target_uri, '2026-01-01T00:00:00Z', archive, 1000000000 + record_idx FROM hits) "
-    "SELECT onion, url, min_by(date, k) AS date, archive FROM gens GROUP BY onion, url, archive"
-)
+_EARLIER = "archive IN ('SEG-00000.warc.gz', 'SEG-00003.warc.gz', 'SEG-00005.warc.gz')"
+
+
+@query(_HITS + f"SELECT onion, url, date, archive FROM ded WHERE {_EARLIER} UNION ALL SELECT onion, url, '2026-01-01T00:00:00Z', archive FROM ded WHERE NOT {_EARLIER}")
 def merge_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reprocessed archive: what was there keeps its dates."""
+    """All archives processed again after some: what was there keeps its dates."""
     found = S.as_sources(hits(spark, sf_dir))
-    existing = S.dedupe_sources(found.filter("record_idx < 125"))
+    existing = S.dedupe_sources(found.filter(_EARLIER))
     again = S.dedupe_sources(found.withColumn("date", F.lit("2026-01-01T00:00:00Z")))
     return S.merge_sources(existing, again)
 
@@ -155,13 +158,12 @@ def content_length_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"SELECT v FROM {_LENGTHS}").select("v", digits_as_long(F.col("v")).alias("n"))
 
 
-_V2, _V3 = "abcdefghijklmnop", "abcdefghijklmnopqrstuvwxyz234567abcdefghijklmnopqrstuvwx"
-# Bodies around the edges of the host grammar.
+_V2, _OTHER, _V3 = "k5r2tqz7wm3nxy4p", "mm22nn33oo44pp55", "zy2x7wq5" * 7
+#: Bodies around the edges of the host grammar.
 CASES = [
-    f"visit http://{_V2}.onion for info", f"link: {_V3}.onion is here", f"visit {_V2}.onions for info", "visit abcdefghij.onion for info",
-    "visit abcdefgh89klmnop.onion for info", f"first: {_V2}.onion second: qrstuvwxyzabcdef.onion done", f"{_V2}.onion is at the start", f"ends with {_V2}.onion",
-    "in my opinion this is fine", "", f"é{_V2}.onion", f"{_V2}.onioné", f"www.{_V2}.onion", f"x-{_V2}.onion", f"_{_V2}.onion", f"X{_V2}.onion", f"1{_V2}.onion",
-    f"q{_V2}.onion", f"{_V2.upper()}.onion", f"{_V2}.ONION", f"{_V2}.onion.onion", f'<a href="http://{_V2}.onion/path?q=1">',
+    f"http://{_V2}.onion", f"read on at {_V3}.onion, or not", f"{_V2}.onionized", "short23.onion", f"{_V2[:8]}9{_V2[9:]}.onion", f"{_V2}.onion {_OTHER}.onion|{_V3}.onion",
+    f"{_V2}.onion opens", f"closes {_V2}.onion", "companionship, onion soup and dominion", "", f"é{_V2}.onion", f"{_V2}.onioné", f"mail.{_V2}.onion", f"a-{_V2}.onion", f"_{_V2}.onion",
+    f"Z{_V2}.onion", f"9{_V2}.onion", f"b{_V2}.onion", f"{_V2.upper()}.onion", f"{_V2}.ONION", f"{_V2}.onion.onion", f'<img src="http://{_V2}.onion/x.png">', f"{_V2[:15]}.onion {_V3}a.onion",
 ]
 _CASES = "(VALUES " + ", ".join(f"({k}, '{c}')" for k, c in enumerate(CASES)) + ") AS t(id, body)"
 
@@ -177,16 +179,18 @@ def archives(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, list[str
     folder = scratch_dir(spark, name)
     records = crawl(spark, sf_dir)
     write_warc(records, folder)
-    fs, path = open_uri(folder)
-    from pyarrow.fs import FileSelector
+    return folder, _listing(folder)
+
 
-    return folder, sorted(f"{folder}/{f.base_name}" for f in fs.get_file_info(FileSelector(path)) if f.base_name.endswith(".warc.gz"))
+def _listing(folder: str) -> list[str]:
+    fs, path = open_uri(folder)
+    return sorted(f"{folder}/{f.base_name}" for f in fs.get_file_info(FileSelector(path)) if f.base_name.endswith(".warc.gz"))
 
 
 @query(_HITS + "SELECT archive, target_uri, warc_date, CAST(octet_length(encode(body)) AS BIGINT) AS content_length, md5(body) AS body_md5 FROM resp")
 def warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, uris = archives(spark, sf_dir, "roundtrip")
-    return good_records(read_warc(spark, uris)).select("archive", "target_uri", "warc_date", "content_length", F.md5("body").alias("body_md5"))
+    return good_records(read_warc(spark, uris), scratch_dir(spark, "records")).select("archive", "target_uri", "warc_date", "content_length", F.md5("body").alias("body_md5"))
 
 
 @query(_HITS + "SELECT onion, url, date, archive FROM ded")
@@ -197,20 +201,29 @@ def warc_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return State(spark, f"{folder}-state").results()
 
 
-def _truncate(uri: str) -> None:
-    """Cut the last third off a file."""
-    fs, path = open_uri(uri)
+def _change(uris: list[str], archive: str, change: Callable[[bytes], bytes]) -> None:
+    """Rewrite the bytes of an archive."""
+    fs, path = open_uri(next(u for u in uris if u.endswith(archive)))
     with fs.open_input_file(path) as f:
-        data = f.read(f.size() * 2 // 3)
+        data = f.read()
     with fs.open_output_stream(path, compression=None) as out:
-        out.write(data)
+        out.write(change(data))
 
 
-@query(_HITS + "SELECT onion, url, date, archive FROM ded WHERE archive <> 'SEG-00003.warc.gz'")
+def _claiming(length: int) -> bytes:
+    """A gzip member with a response that claims so many bytes."""
+    return gzip_member(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\nshort" % length)
+
+
+@query(_HITS + "SELECT onion, url, date, archive FROM ded WHERE archive IN ('SEG-00000.warc.gz', 'SEG-00001.warc.gz')")
 def failed_archive_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An archive that is cut short adds nothing; the others are whole."""
+    """Archives that are cut short, corrupt or claim impossible lengths add nothing; the others are whole."""
     folder, uris = archives(spark, sf_dir, "failed")
-    _truncate(next(u for u in uris if u.endswith("SEG-00003.warc.gz")))
+    _change(uris, "SEG-00002.warc.gz", lambda b: b + _claiming(999_999_999_999_999))
+    _change(uris, "SEG-00003.warc.gz", lambda b: b[: len(b) * 2 // 3])
+    _change(uris, "SEG-00004.warc.gz", lambda b: b[:10] + b"\xff" + b[11:])  # an impossible kind of deflate block
+    _change(uris, "SEG-00005.warc.gz", lambda b: b + _claiming(2**64 - 1))
+    _change(uris, "SEG-00006.warc.gz", lambda b: b + gzip_member(b"\xff\n"))
     run_batch(spark, paths_of(spark, uris), f"{folder}-state")
     return State(spark, f"{folder}-state").results()
 
@@ -221,7 +234,8 @@ def failed_archive_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, uris = archives(spark, sf_dir, "summary")
-    return run_batch(spark, paths_of(spark, uris), f"{folder}-state")
+    counts = ("processed", "skipped", "failed", "records", "hosts_before", "hosts_new", "hosts_total", "sources_new")
+    return run_batch(spark, paths_of(spark, uris), f"{folder}-state").select(*counts)  # without times
 
 
 @query(_HITS + "SELECT onion, url, date, archive FROM ded")
@@ -246,3 +260,134 @@ def archive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits per archive straight from the reader, in the mode that keeps what precedes damage."""
     _, uris = archives(spark, sf_dir, "scan")
     return scan_archives(spark, uris, mode="lenient").filter("record_idx >= 0").groupBy("archive").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def _stored_lines(spark: SparkSession, sf_dir: str, name: str, **options: str) -> str:
+    """A text with an archive for each page, in order, among blanks; the folder of its file."""
+    uri = F.concat(F.lit(" crawl/"), F.col("page_id").cast("string"), F.lit(".warc.gz\u3000"))
+    lines = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.posexplode(F.array(uri, F.lit(""), F.lit("\t ")))).toDF("page_id", "k", "value")
+    folder = scratch_dir(spark, name)
+    lines.coalesce(1).sortWithinPartitions("page_id", "k").select("value").write.options(**options).text(folder)
+    return folder
+
+
+_NUMBERED = "SELECT CAST(row_number() OVER (ORDER BY page_id) AS INTEGER) AS idx, concat('crawl/', page_id, '.warc.gz') AS uri FROM pages"
+
+
+@query(_NUMBERED)
+def paths_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain paths list: lines trimmed, blanks dropped, numbered in their order."""
+    return read_paths(spark, _stored_lines(spark, sf_dir, "paths"))
+
+
+@query(_NUMBERED)
+def paths_scan_gzip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_paths(spark, _stored_lines(spark, sf_dir, "paths-gz", compression="gzip"))
+
+
+@query("SELECT concat('crawl/', page_id, '.warc.gz') AS filename FROM pages")
+def processed_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with blanks, written twice over: each name once."""
+    folder = _stored_lines(spark, sf_dir, "log")
+    spark.read.text(folder).write.text(f"{folder}/again")
+    return read_processed_log(spark, f"{folder}/{{*.txt,again/*.txt}}")
+
+
+@query("SELECT page_id, concat('https://data.example.org/', 'crawl/', page_id, '.warc.gz') AS url FROM pages")
+def archive_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = F.concat(F.lit("crawl/"), F.col("page_id").cast("string"), F.lit(".warc.gz"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", archive_url(uri, "https://data.example.org/").alias("url"))
+
+
+# Boundaries by letters, marks and digits of any script; the SQL side has no look-around.
+_EDGE = r"[^\pL\pM\pN_]"
+_UNICODE = rf"(?:^|{_EDGE})((?:[a-z2-7]{{16}}|[a-z2-7]{{56}})\.onion)(?:$|{_EDGE})"
+
+
+@query(_HITS + f"SELECT archive, record_idx, unnest(regexp_extract_all(body, '{_UNICODE}', 1)) AS onion FROM resp")
+def extract_unicode_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of any script next to a host join it, on text and on bytes alike."""
+    records = responses(spark, sf_dir)
+    by_text = extract_hosts(records, boundary="unicode").select("archive", "record_idx", "onion")
+    by_bytes = extract_hosts(records.withColumn("body", F.encode("body", "UTF-8")), boundary="unicode").select("archive", "record_idx", "onion")
+    return by_text.intersectAll(by_bytes)
+
+
+_COUNTS = f"SELECT archive, CAST(sum(len(regexp_extract_all(body, '{_PATTERN}'))) AS BIGINT) AS a, CAST(sum(len(regexp_extract_all(body, '{_UNICODE}', 1))) AS BIGINT) AS u FROM resp GROUP BY archive"
+
+
+@query(_HITS + f"SELECT s AS strategy, archive, CASE WHEN s IN ('baseline', 'bytes') THEN u ELSE a END AS hits FROM ({_COUNTS}), (VALUES ('baseline'), ('bytes'), ('memchr'), ('mmap')) AS t(s)")
+def strategy_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of every archive by each of the four ways to read."""
+    _, uris = archives(spark, sf_dir, "strategies")
+
+    def scan(strategy: str) -> DataFrame:
+        mode, boundary = strategy_options(strategy)
+        found = scan_archives(spark, uris, mode=mode, boundary=boundary).filter("record_idx >= 0")
+        return found.groupBy(F.lit(strategy).alias("strategy"), "archive").agg(F.count(F.lit(1)).alias("hits"))
+
+    return functools.reduce(DataFrame.unionByName, map(scan, STRATEGIES))
+
+
+@query(_HITS + "SELECT archive, count(*) AS records FROM resp GROUP BY archive")
+def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way to read that passes over bad records: what follows a line that is no text, and what precedes damage."""
+    _, uris = archives(spark, sf_dir, "tolerant")
+    _change(uris, "SEG-00001.warc.gz", lambda b: gzip_member(b"\xff\xfe\n") + b)
+    _change(uris, "SEG-00003.warc.gz", lambda b: b + _claiming(2**64 - 1))
+    _change(uris, "SEG-00005.warc.gz", lambda b: b + gzip_member(b"WARC/1.0\r\n")[:-9])
+    return read_warc(spark, uris, mode="skip_bad_records").filter("record_idx >= 0").groupBy("archive").agg(F.count(F.lit(1)).alias("records"))
+
+
+_BYTES = {1: f"FF{_V2.encode().hex()}2E6F6E696F6EFE", 2: f"C3A9{_V2.encode().hex()}2E6F6E696F6E", 3: f"00{_V2.encode().hex()}2E6F6E696F6E8090", 4: f"{_V2.encode().hex()}2E6F6E696F6EC3"}
+
+
+@query(f"SELECT * FROM (VALUES (1, 'ascii', '{_V2}.onion'), (2, 'ascii', '{_V2}.onion'), (3, 'ascii', '{_V2}.onion'), (4, 'ascii', '{_V2}.onion'), (1, 'unicode', '{_V2}.onion'), (3, 'unicode', '{_V2}.onion'), (4, 'unicode', '{_V2}.onion')) AS t(id, boundary, onion)")
+def invalid_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes that are no UTF-8 next to a host are boundaries; a letter is one for the ASCII rule alone."""
+    rows = spark.sql("SELECT * FROM (VALUES " + ", ".join(f"({k}, X'{b}')" for k, b in _BYTES.items()) + ") AS t(id, body)")
+    found = [extract_hosts(rows, boundary=b).select("id", F.lit(b).alias("boundary"), "onion") for b in ("ascii", "unicode")]
+    return found[0].unionByName(found[1])
+
+
+@query(_HITS + "SELECT onion, url, date, archive FROM ded")
+def json_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All results as one JSON document, stored and read back."""
+    folder = scratch_dir(spark, "json")
+    S.json_document(S.nest_sources(deduped(spark, sf_dir))).coalesce(1).write.option("lineSep", "\n").text(folder)
+    return read_json_results(spark, folder)
+
+
+@query(_HITS + "SELECT CAST(to_json(struct_pack(onion := onion, sources := list(struct_pack(url := url, date := date, archive := archive) ORDER BY archive, url))) AS VARCHAR) AS value FROM ded GROUP BY onion")
+def json_lines_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.json_lines(S.nest_sources(deduped(spark, sf_dir)))
+
+
+@query(_HITS + "SELECT onion, url, date, archive FROM ded")
+def fetched_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each task fetches its archive; one that is not there leaves the others alone."""
+    folder, uris = archives(spark, sf_dir, "fetched")
+    names = [u.rpartition("/")[2] for u in uris]
+    run_batch(spark, paths_of(spark, [names[0], "missing.warc.gz", *names[1:]]), f"{folder}-state", base_url=f"{folder}/", folder=f"{folder}-kept")
+    return State(spark, f"{folder}-state").results()
+
+
+@query(_HITS + "SELECT DISTINCT archive FROM crawl WHERE archive = 'SEG-00003.warc.gz'")
+def deleted_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives that are left when a run deletes those whose results are stored: the one that failed."""
+    folder, uris = archives(spark, sf_dir, "deleted")
+    _change(uris, "SEG-00003.warc.gz", lambda b: b[: len(b) * 2 // 3])
+    run_batch(spark, paths_of(spark, uris), f"{folder}-state", delete=True)
+    return spark.createDataFrame([(u.rpartition("/")[2],) for u in _listing(folder)], "archive string")
+
+
+@query(_HITS + "SELECT onion, url, CASE WHEN archive = 'SEG-00000.warc.gz' THEN 'earlier' ELSE date END AS date, archive FROM ded")
+def imported_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Earlier results and a log from files, then a run over the rest."""
+    folder, uris = archives(spark, sf_dir, "imported")
+    earlier = deduped(spark, sf_dir).filter("archive = 'SEG-00000.warc.gz'").withColumn("date", F.lit("earlier"))
+    S.json_document(S.nest_sources(earlier)).coalesce(1).write.text(f"{folder}-json")
+    spark.createDataFrame([("SEG-00000.warc.gz",)], "value string").coalesce(1).write.text(f"{folder}-log")
+    import_earlier(spark, f"{folder}-state", f"{folder}-json", f"{folder}-log")
+    run_batch(spark, paths_of(spark, uris), f"{folder}-state")
+    return State(spark, f"{folder}-state").results()

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from crawlscan.functions.hosts import digits_as_long, extract_hosts, filename, host_version
 from crawlscan.queries import CASES
 
-V2, V2B = "abcdefghijklmnop", "qrstuvwxyzabcdef"
-V3 = "abcdefghijklmnopqrstuvwxyz234567abcdefghijklmnopqrstuvwx"
+V2, V2B, V3 = "n4ow6uvt2ghy7zzq", "bb66cc77dd22ee33", "r3ts5x" * 9 + "ka"
 ALPHABET = set(b"abcdefghijklmnopqrstuvwxyz234567")
 WORD = set(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_")
 
