@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from crawlscan.operators.sources import json_document, nest_sources
 from crawlscan.plans.batch import DISK_ONLY, STRATEGIES, import_earlier, run_batch, strategy_options
+from crawlscan.plans.local import available_memory, local_jobs
 from crawlscan.plans.work import read_paths
 from crawlscan.sources.state import State
 
@@ -17,7 +18,7 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="crawlscan", description=__doc__)
     p.add_argument("input", help="paths list, plain or .gz")
     p.add_argument("-l", "--limit", type=int, help="process so many archives at most")
-    p.add_argument("-j", "--jobs", type=int, help="local cores (a cluster has its own setting)")
+    p.add_argument("-j", "--jobs", type=int, help="archives read at once on this machine, by default one a core (a cluster has its own setting)")
     p.add_argument("-d", "--delete", action="store_true", help="delete archives once their results are stored")
     p.add_argument("-s", "--strategy", choices=sorted(STRATEGIES), default="memchr")
     p.add_argument("-m", "--stream", action="store_true", help="with --base-url, read archives over the network and keep none")
@@ -29,7 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--json", help="also write all results as one JSON document to this file")
     a = p.parse_args(argv)
     builder = SparkSession.builder.appName("crawlscan").config("spark.ui.showConsoleProgress", "true")
-    spark = (builder.master(f"local[{max(1, a.jobs)}]") if a.jobs is not None else builder).getOrCreate()
+    spark = (builder.master(f"local[{local_jobs(a.jobs, available_memory())}]") if a.jobs is not None else builder).getOrCreate()
     mode, boundary = strategy_options(a.strategy, a.stream)
     options: dict = {"resolve": lambda uri: uri if "://" in uri or os.path.isabs(uri) else f"{a.archives.rstrip('/')}/{uri}"}
     if a.base_url:

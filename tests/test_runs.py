@@ -4,12 +4,17 @@ import functools
 import gzip
 import http.server
 import json
+import os
+import re
+import subprocess
+import sys
 import threading
 
 import pytest
 from pyspark.sql import functions as F
 
 from crawlscan.operators import sources as S
+from crawlscan.plans import local
 from crawlscan.plans.batch import import_earlier, run_batch, strategy_options
 from crawlscan.plans.work import paths_of, read_paths, skip_count, work_list
 from crawlscan.sources import state as state_module
@@ -201,3 +206,30 @@ def test_compaction_keeps_everything(spark, tmp_path, monkeypatch):
     assert state.processed().count() == 7
     assert sorted((r["archive"], r["date"]) for r in state.results().collect()) == [(f"a{k}", f"d{k}") for k in range(7)]
     assert {p.name for p in (tmp_path / "s" / "results").iterdir()} == set(state._parts())
+
+
+def test_jobs_of_one_machine(tmp_path):
+    cores = local.core_count()
+    assert cores >= 1 and local.local_jobs() == cores and local.local_jobs(1) == local.local_jobs(0) == 1
+    with pytest.warns(UserWarning, match="cores"):
+        assert local.local_jobs(5 * cores) == 2 * cores
+    with pytest.warns(UserWarning, match="memory"):
+        assert local.local_jobs(cores + 1, local.JOB_BYTES) == 1
+    (tmp_path / "meminfo").write_text("MemTotal: 9 kB\nMemAvailable:    2048 kB\n")
+    assert local.available_memory(str(tmp_path / "meminfo")) == 2 << 20 and local.available_memory(str(tmp_path / "none")) is None
+
+
+def test_command_line(tmp_path):
+    """A whole run in a shell: earlier results, a damaged archive, the JSON document."""
+    for k in range(3):
+        archive(tmp_path, f"{k}.warc.gz", [HOSTS[k]], cut=12 * (k == 2))
+    (tmp_path / "paths.txt").write_text("x/0.warc.gz\nx/1.warc.gz\nx/2.warc.gz\n")
+    (tmp_path / "log").write_text("1.warc.gz\n")
+    command = [sys.executable, "-m", "crawlscan", str(tmp_path / "paths.txt"), "--base-url", f"file://{tmp_path}/", "--archives", str(tmp_path / "x"), "--state", str(tmp_path / "state")]
+    (tmp_path / "x").mkdir()
+    for k in range(3):
+        (tmp_path / f"{k}.warc.gz").rename(tmp_path / "x" / f"{k}.warc.gz")
+    done = subprocess.run([*command, "-j", "2", "--json", str(tmp_path / "out.json"), "--import-log", str(tmp_path / "log")], capture_output=True, text=True, timeout=200, cwd=os.path.dirname(os.path.dirname(__file__)))
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert json.loads((tmp_path / "out.json").read_text()) == {HOSTS[0]: [{"url": "https://s/0", "date": "2025-01", "archive": "0.warc.gz"}]}
+    assert re.search(r"processed\s*\| 1 ", done.stdout) and re.search(r"skipped\s*\| 1 ", done.stdout) and re.search(r"failed\s*\| 1 ", done.stdout)
