@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, drop_chars, small, word_count
+from .common import Workspace, drop_chars, small, whole_row, word_count
 
 SYMBOLS = "#*$%&|<>"
 SEED = "mix-1"
@@ -129,7 +129,7 @@ def mixed_documents(docs: DataFrame, *, weights: tuple[float, ...] = (3, 1, 2),
     """
     ws = Workspace(docs.sparkSession, "mix")
     cut = cuts(ws.save(docs.select("doc_id", *_keys(seed, quality)), "rows"), weights, share, cap, ws)
-    mixed = docs.select(F.struct(*docs.columns).alias("row"), *_keys(seed, quality)).join(cut, F.col("source").eqNullSafe(F.col("cut_source")))
+    mixed = docs.select(whole_row(docs).alias("row"), *_keys(seed, quality)).join(cut, F.col("source").eqNullSafe(F.col("cut_source")))
     copies = F.col("epochs") * (F.col("size") > 0).cast("long") + (_extra() > 0).cast("long")
     return mixed.select("row", F.explode(F.array_repeat(F.lit(True), copies.cast("int")))).select("row.*")
 

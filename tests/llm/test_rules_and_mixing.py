@@ -3,10 +3,12 @@
 import glob
 import math
 import os
+import random
 import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,11 +77,43 @@ def test_cutoffs_need_enough_labels_and_limit_false_rejections(spark):
     assert all(kept[3000 + k] for k in range(20))  # 20 labels certify nothing in this stratum
 
 
+def test_cutoffs_equal_brute_force(spark):
+    """Levels by exact sums, with strata that certify all, some and no levels, and the same rows from the SQL."""
+    rng, rows, marks = random.Random(9), [], []
+    for lang, n, spoiled in (("en", 400, 3), ("fr", 190, 0), ("de", 300, 40), (None, 260, 1), ("es", 100, 0)):
+        for k in range(n):
+            junk = rng.choice([" #", " *" * 9, " %" * 25, " UPPER CASED WORDS" * 9, "\nline\nline", " |" * 70]) if k < spoiled else ""
+            rows.append((len(rows), " ".join(f"w{len(rows)}x{j}" for j in range(30)) + junk, lang, "s"))
+            marks.append((rows[-1][0], 1, 0))
+        rows += [(len(rows) + k, " ".join(f"v{k}x{j}" for j in range(30)) + " $" * (4 * k), lang, "s") for k in range(20)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, labels).collect()}
+    scores = {r["doc_id"]: r for r in quality_rules._scored(docs).collect()}
+    levels = {}
+    for lang in {r[2] for r in rows}:
+        good = [scores[k] for k, _, _ in marks if rows[k][2] == lang and not scores[k]["base_failed"]]
+        for level in range(quality_rules.LEVELS):
+            k = sum(any(g[r] > cuts[level] for r, cuts in quality_rules.RULES.items()) for g in good)
+            if sum(math.comb(len(good), i) * 0.02**i * 0.98 ** (len(good) - i) for i in range(k + 1)) > 0.1 / 5:
+                break
+            levels[lang] = level + 1
+    assert len(set(levels.values())) >= 2 and max(levels.values()) == quality_rules.LEVELS and len(levels) < 5
+    for k, _, lang, _ in rows:
+        failed = [r for r, cuts in quality_rules.RULES.items() if lang in levels and scores[k][r] > cuts[levels[lang] - 1]]
+        assert got[k]["level"] == levels.get(lang) and got[k]["failed_rules"] == failed and got[k]["kept"] == (not failed and not scores[k]["base_failed"])
+    db = duckdb.connect()
+    db.register("documents", pa.table(dict(zip(("doc_id", "text", "lang", "source"), map(list, zip(*rows, strict=True)), strict=True))))
+    db.register("labels", pa.table(dict(zip(("doc_id", "quality", "toxic"), map(list, zip(*marks, strict=True)), strict=True))))
+    assert dict(db.execute(f"SELECT doc_id, kept FROM ({quality_rules.oracle()})").fetchall()) == {k: r["kept"] for k, r in got.items()}
+
+
 def test_rejected_rows_go_and_columns_stay(spark):
     df = spark.createDataFrame([(1, "a", "en", "s", 7), (2, " ".join(map(str, range(50))), None, None, 8), (None, " ".join(map(str, range(50))), "en", "s", 9)], DOCS + ", n_words int")
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality_rules.kept_documents(df, labels)
     assert got.columns == df.columns and sorted(r["n_words"] for r in got.collect()) == [8, 9]
+    dotted = df.withColumn("a.b`c", F.lit(1))
+    assert quality_rules.kept_documents(dotted, labels).columns == dotted.columns and mixing.mixed_documents(dotted).columns == dotted.columns
     assert quality_rules.kept_documents(df.limit(0), labels).count() == 0 and quality_rules.judge(df.limit(0), labels).count() == 0
 
 
