@@ -8,9 +8,9 @@ contents of one page score 1; presentation counts likewise, by the entropy of ho
 right under the branch.  Each branch is judged by its own texts, not with its children.  Copies of a page count once: pages of a host whose longest texts, up to nine tenths of all outside named
 noise, are the same.  Branches under the threshold are removed from each page.
 
-Further rules hold on every page, also for hosts with too few pages to compare: branches that name
-themselves as no content (scripts, forms, navigation, adverts, comments, ...) go, and so do blocks that
-are mostly links, save in an article.  Where a page marks its article, the mark is a prior and the style
+Further rules hold on every page, also for hosts with few pages to compare: branches that name
+themselves as no content (scripts, forms, navigation, adverts, comments, ...) go, and so do rows of blocks
+that are mostly links, save in an article.  Where a page marks its article, the mark is a prior and the style
 tree still judges: branches in the article go if they repeat enough in spite of it, and branches beside
 it stay if they are important in spite of it.  Beside an article, branches without statistics go, unless
 their text outweighs the article's.
@@ -20,8 +20,10 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -30,15 +32,16 @@ from pyspark.sql import functions as F
 from .arrow_text import by_bytes
 from .common import Workspace, small
 
-MIN_PAGES = 4  # a host with fewer pages has no statistics
 THRESHOLD = 0.5  # a branch less important than this goes
 BROADCAST_NODES = 1_000_000  # eight bytes each; with more, pages and nodes meet in a shuffled join by host
 COPY_SHARE = 0.9  # pages with the same longest texts, up to this share of all, are copies
 PRIOR = 0.75  # what is left of the evidence that speaks against an article's mark
 OUTWEIGHS = 200  # characters beside an article, at least, that can show it not to hold the main text
-LINK_SHARE = 0.7  # outside articles, a block with more of its text in links goes
+LINK_SHARE = 0.7  # a block with more of its text in links is part of a menu,
+MENU_LINKS = 2  # if it and its like beside it hold so many links, outside articles
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|$)", re.DOTALL)
+# A quote that follows an equals sign holds to its end; elsewhere in a tag it is a character like others.
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|$)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -58,16 +61,26 @@ CLOSED_BY = {
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
-#: Words in class, id or role that name a branch as no content.
+#: Words in class or id that can name a branch as no content.
 NOISE_WORDS = frozenset(
     "ad ads advert advertisement advertisements adverts advertising adsense banner banners breadcrumb breadcrumbs comment comments comentarios kommentare commentaires "
     "cookie cookies consent copyright disclaimer disqus footer gdpr login masthead menu menus modal nav navbar navigation navi newsletter notice notices pager pagination popup "
     "promo promoted promotion recommend recommended related reply replies respond search share sharing sidebar signup skip skyscraper social sponsor sponsored subscribe "
     "subscription tags toolbar topbar widget widgets".split()
 )
+#: Those that name it so after any other word too (``site-nav``, but not ``market-share``).
+STRONG_WORDS = frozenset(
+    "ad ads advert advertisement advertisements adverts adsense breadcrumb breadcrumbs comment comments comentarios kommentare commentaires disqus footer menu menus nav navbar "
+    "navigation newsletter pager pagination popup sidebar skyscraper toolbar topbar".split()
+)
+#: Words for parts and places, which say nothing about what a branch holds.
+PLAIN_WORDS = frozenset(
+    "a and area articles bar block body bottom box button buttons center col column container content for form group head header holder icon icons inner item items label large left "
+    "link links list module of outer panel part posts region right row section slot small stories strip text the title to top unit wrap wrapper you your zone".split()
+)
 #: First words of names that tell a state of the branch (``with-sidebar``), not what it is.
 STATE_WORDS = frozenset("has is js no not with without".split())
-#: The few of them that also hold for an element that marks an article.
+#: The few noise words that also hold for an element that marks an article.
 ARTICLE_NOISE = frozenset("ad ads advert comment comments promo promoted related reply replies sponsored".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 
@@ -89,6 +102,22 @@ class Node:
         self.children: list = []  # nodes, and texts in page order
 
 
+def noise_names(names: str) -> set[str]:
+    """Noise words among the names of a class or id.
+
+    A name counts if, but for plain words and numbers, all of its words are noise words, or its last one
+    is a strong one: ``related-posts`` and ``article-comments`` count, ``share-price`` and ``related-work`` do not.
+    """
+    found: set[str] = set()
+    for name in names.split():
+        words = [w.lower() for w in _WORDS.findall(name)]
+        if words and words[0] not in STATE_WORDS:
+            telling = [w for w in words if w not in PLAIN_WORDS and not w.isdigit()]
+            if telling and (NOISE_WORDS.issuperset(telling) or telling[-1] in STRONG_WORDS):
+                found.update(NOISE_WORDS.intersection(telling))
+    return found
+
+
 def _named_noise(tag: str, attributes: dict[str, str], inside_article: bool) -> str:
     """``hard`` if an element is no content by its kind, ``soft`` if by its names, else empty."""
     if tag in NO_CONTENT or "hidden" in attributes or attributes.get("aria-hidden") == "true" or tag == "header" and not inside_article:
@@ -97,14 +126,10 @@ def _named_noise(tag: str, attributes: dict[str, str], inside_article: bool) ->
         return "hard"
     if tag in ("html", "body"):
         return ""
-    names: set[str] = set()
-    for token in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
-        words = [w.lower() for w in _WORDS.findall(token)]
-        if words and words[0] not in STATE_WORDS:
-            names.update(words)
+    names = noise_names(f"{attributes.get('class', '')} {attributes.get('id', '')}")
     if tag in ARTICLE:
         return "hard" if names & ARTICLE_NOISE else ""
-    return "soft" if names & NOISE_WORDS else ""
+    return "soft" if names else ""
 
 
 def parse(page: str) -> Node:
@@ -116,9 +141,7 @@ def parse(page: str) -> Node:
     root = Node("#root", "", "", None)
     here, at, articles, linked = root, 0, 0, False
     inline_noise: list[str] = []
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
+    while m := _TAG.search(page, at):
         if m.start() > at and not inline_noise:
             text = page[at : m.start()]
             here.children.append(Link(text) if linked else text)
@@ -198,18 +221,28 @@ def _clean(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
-def blocks(root: Node, by_name: bool = True) -> Iterator[tuple[int, str, bool, float]]:
-    """(style key, text, inside an article, share in links) of each block with text, in page order.
+class Block(NamedTuple):
+    """A run of text right under a node, with the node's style key."""
+
+    key: int
+    text: str
+    inside: bool  # an article
+    share: float  # of the text in links
+    links: int
+
+
+def blocks(root: Node, by_name: bool = True) -> Iterator[Block]:
+    """The blocks of a page with text, in page order.
 
     Named noise is left out; names alone do not count against a branch that holds the article, or
     at all without ``by_name``.
     """
     held: list[str] = []
 
-    def flush(node: Node, inside: bool) -> Iterator[tuple[int, str, bool, float]]:
+    def flush(node: Node, inside: bool) -> Iterator[Block]:
         if held and (text := _clean(held)):
-            share = sum(len(t) for t in held if isinstance(t, Link)) / max(1, sum(len(t) for t in held))
-            yield node.key, text, inside, share
+            linked = [t for t in held if isinstance(t, Link) and not t.isspace()]
+            yield Block(node.key, text, inside, sum(map(len, linked)) / max(1, sum(map(len, held))), len(linked))
         held.clear()
 
     stack = [(root, root.tag in ARTICLE, iter(root.children))]
@@ -227,6 +260,16 @@ def blocks(root: Node, by_name: bool = True) -> Iterator[tuple[int, str, bool, f
                 stack.append((child, inside or child.tag in ARTICLE, iter(child.children)))
 
 
+def without_menus(found: list[Block]) -> list[Block]:
+    """Blocks but for menus: blocks in a row, outside articles, that are mostly links, with several of them."""
+    left: list[Block] = []
+    for menu, run in itertools.groupby(found, lambda b: not b.inside and b.share > LINK_SHARE):
+        run = list(run)
+        if not menu or sum(b.links for b in run) < MENU_LINKS:
+            left += run
+    return left
+
+
 def _short(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -260,9 +303,9 @@ def style_nodes(pages: DataFrame) -> DataFrame:
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 held: dict[tuple[int, bool], list[str]] = {}
                 found = list(blocks(parse(page or "")))
-                for key, text, inside, _ in found:
-                    held.setdefault((key, inside), []).append(text)
-                digest, marked = copy_digest([(key, text) for key, text, _, _ in found]), any(inside for _, inside in held)
+                for b in found:
+                    held.setdefault((b.key, b.inside), []).append(b.text)
+                digest, marked = copy_digest([(b.key, b.text) for b in found]), any(inside for _, inside in held)
                 out += [(host, digest, key, inside, marked and not inside, _short("\x00".join(texts)), len(texts)) for (key, inside), texts in held.items()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
             types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int32()]
@@ -277,9 +320,10 @@ def judged_nodes(pages: DataFrame, threshold: float) -> DataFrame:
     With m distinct pages showing a node, a content that c of them show spreads over them with entropy
     log(c) / log(m), so content importance is 1 - sum over contents of (c / m) * log(c) / log(m).
     Presentation importance is the entropy of the node's layouts, -sum(q log q) / log(m).  The node's
-    importance is 1 - (1 - content) * (1 - presentation / 2).  An article's mark takes a quarter from
-    what a node of the article lacks in importance, and from the importance of a node beside it.
-    Counts are aggregated before each shuffle.
+    importance is 1 - (1 - content) * (1 - presentation / 2) * (m - 1) / (m + 1): what a node lacks counts
+    the more, the more pages show it.  An article's mark takes a quarter from what a node of the
+    article lacks in importance, and from the importance of a node beside it.  Counts are aggregated
+    before each shuffle.
     """
     seen = [F.bool_or(c).alias(c) for c in ("inside", "beside")]
     counts = style_nodes(pages).distinct().groupBy("host", "node", "content", "layout").agg(F.count(F.lit(1)).alias("c"), *seen)
@@ -289,9 +333,9 @@ def judged_nodes(pages: DataFrame, threshold: float) -> DataFrame:
         """Pages m of each node and the sum of c * log(c) over what ``by`` tells apart."""
         return counts.groupBy("host", "node", by).agg(F.sum("c").alias("c"), *seen).groupBy("host", "node").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias(by), *seen)
 
-    both = spread("content").filter(m >= MIN_PAGES).join(spread("layout").drop("m", "inside", "beside"), ["host", "node"])
+    both = spread("content").filter(m > 1).join(spread("layout").drop("m", "inside", "beside"), ["host", "node"])
     repeated, plain = F.col("content") / (m * F.log(m)), F.col("layout") / (m * F.log(m))
-    lack = repeated * (1 - (1 - plain) / 2)
+    lack = repeated * (1 - (1 - plain) / 2) * (m - 1) / (m + 1)
     noise = 1 - lack * F.when(F.col("inside"), PRIOR).otherwise(1) < threshold
     return both.select("host", "node", noise.alias("noise"), (F.col("beside") & (PRIOR * (1 - lack) >= threshold)).alias("stays")).filter("noise OR stays").drop("stays")
 
@@ -303,13 +347,12 @@ def main_text(page: str | None, noise: frozenset[int], stays: frozenset[int] = f
     of a page, they do not count, nor does the tree if it would.
     """
     root = parse(page or "")
-    found = list(blocks(root)) or list(blocks(root, by_name=False))
-    plain = [(key, text, inside) for key, text, inside, share in found if inside or share <= LINK_SHARE]
-    left = [x for x in plain if x[0] not in noise] or plain
-    marked = sum(len(text) for _, text, inside in left if inside)
-    if marked and sum(len(text) for _, text, inside in left if not inside) <= max(marked, OUTWEIGHS):
-        left = [(key, text, inside) for key, text, inside in left if inside or key in stays]
-    return " ".join(text for _, text, _ in left)
+    plain = without_menus(list(blocks(root)) or list(blocks(root, by_name=False)))
+    left = [b for b in plain if b.key not in noise] or plain
+    marked = sum(len(b.text) for b in left if b.inside)
+    if marked and sum(len(b.text) for b in left if not b.inside) <= max(marked, OUTWEIGHS):
+        left = [b for b in left if b.inside or b.key in stays]
+    return " ".join(b.text for b in left)
 
 
 def extract(pages: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
