@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import corpus_pipeline
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import html_extract, language_id, minhash, mixing, packing, quality_rules, secret_scan, token_files, toxicity, vector_dedup
@@ -49,6 +48,8 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # not a part of Spark or of this library
+
     return token_files.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 

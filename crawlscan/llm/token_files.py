@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrow_text import by_bytes, span_hashes, text_bytes
+from .arrow_text import PIECE_BYTES, by_bytes, span_hashes, text_bytes
 from .common import Workspace
 
 U64, U32 = np.uint64, np.uint32
@@ -35,7 +36,10 @@ LOW = U64(1 << 31)  # states stay in [LOW, LOW << 32)
 LANES = 512
 BLOCK = 1 << 17
 MAGIC, TAIL = b"ANSF", b"FSNA"
-CACHE_UNITS = 1_500_000  # about 150 bytes each
+CACHE_UNITS = 1_000_000  # about 150 bytes each
+LONG_UNIT = 256  # bytes; longer units are not looked up by their hash
+AROUND = 8  # bytes before and after a piece that can tell where units start in it
+GROUP_BYTES = UNITS_BYTES = 4 << 20
 _BLANK = np.zeros(256, bool)
 _BLANK[[*range(9, 14), *range(28, 33)]] = True
 _LETTER = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
@@ -108,12 +112,22 @@ def decode_block(payload: bytes, n: int, lanes: int, table: Table) -> np.ndarray
 
 
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Byte positions at which the tokenizer's own splitting surely breaks the texts into pieces.
+    """Byte positions at which byte-level splitting surely breaks the texts into pieces.
 
     These are the starts of texts, a single space or line feed between two characters that are not
     white space, what follows such a line feed, and a comma or full stop after a letter (ASCII, or one
-    of U+00C0..U+00FF).
+    of U+00C0..U+00FF).  Bytes are worked through in pieces, with what stands around each.
     """
+    found, rows = [np.zeros(0, np.int64)], offsets[:-1][np.diff(offsets) > 0]
+    for at in range(0, len(data), PIECE_BYTES):
+        a, b = max(0, at - AROUND), min(len(data), at + PIECE_BYTES + AROUND)
+        cuts = np.unique(np.concatenate([[a], rows[np.searchsorted(rows, a) : np.searchsorted(rows, b)], [b]])) - a
+        starts = _starts_in(data[a:b], cuts) + a
+        found.append(starts[(starts >= at) & (starts < at + PIECE_BYTES) & ((starts > a) | (a == 0))])
+    return np.concatenate(found)
+
+
+def _starts_in(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(data)
     blank = _BLANK[data]
     at = [np.roll(data, -k) for k in (1, 2)]
@@ -138,12 +152,22 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def breaks_like_bytes(path: str) -> bool:
+    """Whether a tokenizer file splits texts as ``unit_starts`` assumes: by the byte-level pattern, and nothing before it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    split = spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    return bool(plain and not spec.get("normalizer") and not any(re.search(r"[\s,.]", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", [])))
+
+
 class UnitEncoder:
     """Ids of texts by a cache of units: the stretches between ``unit_starts``.
 
-    As the tokenizer breaks at each start, the ids of a text are those of its units in turn.  Units are
-    told apart by 64-bit hashes of their bytes, and only units that a slice of texts has not met are
-    encoded.
+    As the tokenizer breaks at each start, the ids of a text are those of its units in turn.  Units of at
+    most ``LONG_UNIT`` bytes are told apart by 64-bit hashes, and only those that are not in the cache are
+    encoded; longer ones, which could be made to collide, are each encoded.  With a tokenizer that
+    splits in another way, every text is a unit and each is encoded.
     """
 
     def __init__(self, path: str):
@@ -152,35 +176,51 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.units = breaks_like_bytes(path)
         self.cache: dict[int, bytes] = {}
 
-    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts, each followed by ``end_id``, and the number of ids of each."""
-        data, offsets = text_bytes(column)
-        starts = unit_starts(data, offsets) if len(data) else np.zeros(0, np.int64)
-        ends = np.append(starts[1:], len(data))
-        kinds, where, unit = np.unique(span_hashes(data, starts, ends) if len(data) else np.zeros(0, U64), return_index=True, return_inverse=True)
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the units of a piece in turn, and the number of ids of each unit."""
+        raw, base = data[starts[0] : ends[-1]].tobytes(), int(starts[0])
+        long = ends - starts > LONG_UNIT if self.units else np.ones(len(starts), bool)
+        short = np.flatnonzero(~long)
+        kinds, where, unit = np.unique(span_hashes(data, starts[short], ends[short]), return_index=True, return_inverse=True)
         keys = kinds.tolist()
         found = list(map(self.cache.get, keys))
         missing = [k for k, ids in enumerate(found) if ids is None]
-        if missing:
-            if len(self.cache) > CACHE_UNITS:
-                self.cache.clear()
-            raw = data.tobytes()
-            spans = zip(starts[where[missing]].tolist(), ends[where[missing]].tolist(), strict=True)
-            for k, e in zip(missing, self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False), strict=True):
-                found[k] = self.cache[keys[k]] = np.array(e.ids, self.dtype).tobytes()
-        width = np.dtype(self.dtype).itemsize
-        found.append(np.array([end_id], self.dtype).tobytes())
-        sizes = np.array([len(x) for x in found], np.int64) // width
-        place = np.cumsum(sizes) - sizes
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        upto = np.searchsorted(starts, offsets[1:])
-        order = np.insert(unit, upto, len(found) - 1)
+        if len(self.cache) > CACHE_UNITS:
+            self.cache.clear()
+        apart = np.concatenate([short[where[missing]], np.flatnonzero(long)]).astype(np.int64)
+        if len(apart):
+            spans = zip((starts[apart] - base).tolist(), (ends[apart] - base).tolist(), strict=True)
+            got = [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)]
+            for k, ids in zip(missing, got, strict=False):
+                found[k] = self.cache[keys[k]] = ids
+            found += got[len(missing) :]
+        order = np.zeros(len(starts), np.int64)
+        order[short] = unit
+        order[long] = len(kinds) + np.arange(len(starts) - len(short))
+        sizes = np.array([len(x) for x in found], np.int64) // np.dtype(self.dtype).itemsize
+        place, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), self.dtype)
         n = sizes[order]
-        ends_at = np.cumsum(n)
-        ids = flat[np.repeat(place[order] - ends_at + n, n) + np.arange(n.sum())]
-        return ids, np.diff(ends_at[upto + np.arange(len(upto))], prepend=0)
+        return flat[np.repeat(place[order] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each followed by ``end_id``, and the number of ids of each.
+
+        Units go through in pieces of the texts, so a long text takes no more than itself and its ids.
+        """
+        data, offsets = text_bytes(column)
+        starts = np.unique(offsets[:-1][np.diff(offsets) > 0]) if not self.units else unit_starts(data, offsets)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        ids, counts, k = [np.zeros(0, self.dtype)], [np.zeros(0, np.int64)], 0
+        while k < len(starts):
+            stop = max(k + 1, int(np.searchsorted(ends, starts[k] + UNITS_BYTES, side="right")))
+            for held, part in zip((ids, counts), self._encoded(data, starts[k:stop], ends[k:stop]), strict=True):
+                held.append(part)
+            k = stop
+        upto = np.concatenate([[0], np.cumsum(np.concatenate(counts))])[np.searchsorted(starts, offsets)]
+        return np.insert(np.concatenate(ids), upto[1:], end_id), np.diff(upto) + 1
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -205,7 +245,7 @@ def token_groups(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         part, wide = TaskContext.get().partitionId(), np.dtype(enc.dtype).itemsize == 4
-        for grp, batch in enumerate(by_bytes(batches, "text")):
+        for grp, batch in enumerate(by_bytes(batches, "text", GROUP_BYTES)):
             ids, lens = enc.encode(batch.column("text"), end_id)
             columns = [pa.array([part], pa.int32()), pa.array([grp], pa.int32()), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([lens.tolist()], pa.list_(pa.int64())), pa.array([wide]), pa.array([ids.tobytes()], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "grp", "doc_ids", "lens", "wide", "ids"])
@@ -345,7 +385,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, *, end_id: int = 0, folder: s
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names.  Documents go in
     ascending doc_id order, null ids first, equal ids by text; null and empty texts are the end id alone;
-    an empty table writes no file.  Returns the manifest, the table and the folder; the table is also
+    an empty table writes no file.  A long text takes memory for itself and its ids.  Returns the manifest, the table and the folder; the table is also
     stored as ``table.u4`` in the folder.
     """
     ws = Workspace(docs.sparkSession, "tokens")
