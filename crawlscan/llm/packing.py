@@ -148,6 +148,6 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, per_source: int = PER_SOU
         if held:
             yield packed(held)
 
-    rest = dealt.filter("n_words > 0").select("doc_id", "piece", "start", "n_words", "block", "source", "cluster", F.xxhash64("doc_id", "cluster").alias("tie"))
+    rest = dealt.filter("n_words > 0").select("doc_id", "piece", "start", "n_words", "block", "source", "cluster", F.xxhash64("doc_id", "cluster", "source").alias("tie"))
     rest = rest.repartition("block").sortWithinPartitions("block", "n_words", "tie").mapInArrow(run, "doc_id long, piece long, start long, n_words long, block long, bin long, offset long")
     return rest.unionByName(empty)

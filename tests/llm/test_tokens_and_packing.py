@@ -152,3 +152,32 @@ def test_packing_keeps_every_word_and_rule(spark):
         assert max(sum(source[x["doc_id"]] == source[r["doc_id"]] for x in b) for r in b) <= 2
         assert len({text[r["doc_id"]] for r in b}) == len(b)
     assert packing.pack(df.limit(0)).count() == 0
+
+
+def test_other_splitting_encodes_whole_texts():
+    """A tokenizer that does not split at bytes gets whole texts, and long units are never taken for others."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = token_files.UnitEncoder(path)
+    texts = ["Plain words, and 12 more.\n\nNext  line", None, "", "x" * 5000, "é. ü, ß\n"]
+    ids, n = encoder.encode(pa.array(texts), 0)
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert not encoder.units and n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+@pytest.mark.parametrize("size", [1, 7, 64])
+def test_pieces_do_not_change_ids(monkeypatch, size):
+    monkeypatch.setattr(token_files, "PIECE_BYTES", size)
+    monkeypatch.setattr(token_files, "UNITS_BYTES", size)
+    rng = random.Random(size)
+    texts = ["".join(rng.choice(["a", "B", " ", "\n", ".", ",", "é", " ", " ", "12", "'s", "word", "x" * 300]) for _ in range(rng.randrange(60))) for _ in range(40)] + [None, ""]
+    encoder = token_files.UnitEncoder(PATH)
+    ids, n = encoder.encode(pa.array(texts), 0)
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids + [0] for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_ties_pack_alike_in_any_order(spark):
+    rows = [(k % 3, "same words here", ["a", "b", None][k % 3 - k % 2]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    by_source = [sorted(map(repr, (r[:5] for r in packing.pack(x.coalesce(1)).select("doc_id", "piece", "n_words", "bin", "offset").collect()))) for x in (df, df.orderBy("source", "doc_id"))]
+    assert by_source[0] == by_source[1]
