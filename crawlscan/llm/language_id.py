@@ -24,7 +24,7 @@ EMBED = 8
 WIDTHS = (2, 3, 4, 5)
 FILTERS = 8  # of each width
 DOCS_PER_LANG = 400
-WINDOWS_PER_DOC = 4
+WINDOWS_PER_DOC = 4  # of a document in the sample, spread evenly over its whole text
 EPOCHS, BATCH, RATE = 8, 64, 0.004
 STEP = 256  # windows convolved at once
 
@@ -44,18 +44,20 @@ def _mask() -> np.ndarray:
     return (np.arange(max(WIDTHS) * EMBED)[:, None] // EMBED < reach[None, :]).astype(np.float32)
 
 
-def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Zero-padded (windows, WINDOW) bytes, the row of each window and how many bytes it holds."""
+def windows_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each window: its row, where it starts and how many bytes it holds."""
     sizes = np.diff(offsets)
     per_row = -(-sizes // WINDOW)
     row = np.repeat(np.arange(len(sizes)), per_row)
     place = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
     start = offsets[:-1][row] + place * WINDOW
-    held = np.minimum(WINDOW, offsets[1:][row] - start)
-    at = start[:, None] + np.arange(WINDOW)
-    grid = data[np.minimum(at, len(data) - 1)] if len(data) else np.zeros((0, WINDOW), np.uint8)
-    grid = np.where(np.arange(WINDOW) < held[:, None], grid, 0)
-    return grid, row, held
+    return row, start, np.minimum(WINDOW, offsets[1:][row] - start)
+
+
+def grid_of(data: np.ndarray, start: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Zero-padded (windows, WINDOW) bytes."""
+    at = np.minimum(start[:, None] + np.arange(WINDOW), max(0, len(data) - 1))
+    return np.where(np.arange(WINDOW) < held[:, None], data[at], 0) if len(data) else np.zeros((0, WINDOW), np.uint8)
 
 
 def _patches(net: Network, grid: np.ndarray) -> np.ndarray:
@@ -142,14 +144,15 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> Network | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text"):
-            grid, row, held = windows_of(*_lowered(batch.column("text")))
+            data, offsets = _lowered(batch.column("text"))
+            row, start, held = windows_of(offsets)
             number = np.bincount(row, minlength=batch.num_rows)
             first = np.cumsum(number) - number
             chosen = [first[r] + np.unique(np.linspace(0, n - 1, min(n, WINDOWS_PER_DOC)).astype(int)) for r, n in enumerate(number) if n]
             chosen = np.concatenate(chosen) if chosen else np.zeros(0, int)
             chosen = chosen[(held[chosen] >= 16) | (number[row[chosen]] == 1)]
             ids, langs = batch.column("doc_id"), batch.column("lang")
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[chosen])), langs.take(pa.array(row[chosen])), pa.array([w.tobytes() for w in grid[chosen]], pa.binary())], names=["doc_id", "lang", "bytes"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[chosen])), langs.take(pa.array(row[chosen])), pa.array([w.tobytes() for w in grid_of(data, start[chosen], held[chosen])], pa.binary())], names=["doc_id", "lang", "bytes"])
 
     got = sample.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, lang string, bytes binary").toArrow().to_pandas()
     got = got.sort_values(["lang", "doc_id", "bytes"], kind="stable").groupby("lang").head(docs_per_lang * WINDOWS_PER_DOC)
@@ -165,7 +168,9 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names.  Returns one row
     per input row: doc_id, held_out, lang_pred and score (probability of lang_pred).  Texts that are
-    null or hold no letter, and all texts if ``net`` is None, get ``und`` with score 0.
+    null or hold no letter, and all texts if ``net`` is None, get ``und`` with score 0; repeated rows each
+    get their row; no rows in, no rows out.  A long text takes memory for itself and a few numbers for
+    each of its windows, which are convolved ``STEP`` at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some ten thousand weights
 
@@ -176,8 +181,9 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
             lettered = np.asarray(pc.fill_null(batch.column("lettered"), False), bool)
             names, scores = np.full(n, "und", object), np.zeros(n)
             if model and lettered.any():
-                grid, row, held = windows_of(*_lowered(batch.column("text")))
-                p = [forward(model, grid[k : k + STEP]) for k in range(0, len(grid), STEP)]
+                data, offsets = _lowered(batch.column("text"))
+                row, start, held = windows_of(offsets)
+                p = [forward(model, grid_of(data, start[k : k + STEP], held[k : k + STEP])) for k in range(0, len(row), STEP)]
                 p = np.concatenate(p) if p else np.zeros((0, len(model.langs)))
                 whole = np.column_stack([np.bincount(row, p[:, k] * held, n) for k in range(len(model.langs))])
                 whole /= np.maximum(np.bincount(row, held, n), 1)[:, None]

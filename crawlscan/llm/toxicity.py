@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .arrow_text import NOT_ALNUM, U64, by_bytes, word_hashes
 
 MAX_TRAIN = 5_000
-FEATURES = 2000
+FEATURES = 2000  # of a model, those with the most evidence
+MIN_DOCS = 3  # of the sample, that a feature must be in
 FOLDS = 5
 PREFIXES = (5, 6, 7)  # bytes; compounds of one abusive stem share them
 MIN_EVIDENCE = 1.7  # a feature's likelihood ratio must exceed exp(this * log(candidates) / 2)
@@ -141,11 +142,15 @@ def derived_targets(s: Sample) -> np.ndarray:
     return np.column_stack([terms >= 1, terms >= 3]).astype(float)
 
 
-def fit_chain(s: Sample) -> Chain:
-    """Train the chain; the threshold is the one with the best weighted F1 out of fold."""
-    goals = np.column_stack([derived_targets(s), s.y])
+def fit_chain(s: Sample, earlier: dict[str, np.ndarray] | None = None) -> Chain:
+    """Train the chain; the threshold is the one with the best weighted F1 out of fold.
+
+    ``earlier`` has the 0/1 labels of the categories before the last; without it they are derived.
+    """
+    before = np.column_stack(list(earlier.values())) if earlier else derived_targets(s)
+    goals, categories = np.column_stack([before, s.y]), (*earlier, CATEGORIES[-1]) if earlier else CATEGORIES
     pair_hashes = s.vocabulary[s.ids]
-    chain, held_out, everyone = Chain(CATEGORIES), np.zeros((len(s.y), 0)), np.ones(len(s.y), bool)
+    chain, held_out, everyone = Chain(categories), np.zeros((len(s.y), 0)), np.ones(len(s.y), bool)
     for k in range(goals.shape[1]):
         column = np.zeros(len(s.y))
         for fold in range(FOLDS):
@@ -163,13 +168,17 @@ def fit_chain(s: Sample) -> Chain:
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, earlier: tuple[str, ...] = ()) -> Chain | None:
     """The chain from at most ``max_train`` labelled documents, half of either kind at most.
 
+    ``earlier`` names columns of ``labels`` with further categories (1 yes; 0 and null no), predicted before
+    ``toxic`` in their order; without them two are derived from the words tied to the label.
     Rows are taken in the order of a hash of doc_id, so the sample is the same in every run, and are
     weighted back to the shares of all labels.  Returns None without labelled rows of both kinds.
     """
-    marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
+    marks = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(
+        (F.max("toxic") > 0).cast("int").alias("y"), F.array(*(F.coalesce(F.max(c) > 0, F.lit(False)).cast("int") for c in earlier)).cast("array<int>").alias("more")
+    )
     totals = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if len(totals) < 2:
         return None
@@ -185,21 +194,22 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Cha
             first = np.append(True, (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1]))[: len(rows)]
             hashes, ends = hashes[first], np.cumsum(np.bincount(rows[first], minlength=batch.num_rows))
             blobs = pa.array([part.tobytes() for part in np.split(hashes, ends[:-1])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("label_id"), batch.column("y"), batch.column("fold"), blobs], names=["id", "y", "fold", "words"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("label_id", "y", "more", "fold")), blobs], names=["id", "y", "more", "fold", "words"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, F.col("doc_id") == F.col("label_id")).select("label_id", "y", "fold", "text")
-    got = found.mapInArrow(run, "id long, y int, fold int, words binary").toArrow().sort_by("id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, F.col("doc_id") == F.col("label_id")).select("label_id", "y", "more", "fold", "text")
+    got = found.mapInArrow(run, "id long, y int, more array<int>, fold int, words binary").toArrow().sort_by("id")
     y, fold = np.asarray(got["y"]).astype(float), np.asarray(got["fold"])
     if not 0 < y.sum() < len(y):
         return None
     sets = [np.frombuffer(b, U64) for b in got["words"].to_pylist()]
     rows = np.repeat(np.arange(len(sets), dtype=np.int32), [len(x) for x in sets])
     vocabulary, ids, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    often = counts >= 3
+    often = counts >= MIN_DOCS
     keep = often[ids]
     ids = (np.cumsum(often) - 1)[ids[keep]]
     weight = np.where(y == 1, totals[1] / y.sum(), totals[0] / (len(y) - y.sum()))
-    return fit_chain(Sample(rows[keep], ids, vocabulary[often], y, weight, fold))
+    columns = np.array(got["more"].to_pylist(), float).reshape(len(y), len(earlier))
+    return fit_chain(Sample(rows[keep], ids, vocabulary[often], y, weight, fold), dict(zip(earlier, columns.T, strict=True)))
 
 
 def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
@@ -207,10 +217,13 @@ def score(docs: DataFrame, chain: Chain | None) -> DataFrame:
 
     ``docs`` needs doc_id and text; other columns are ignored, whatever their names.  Returns one row
     per input row: doc_id, p_<category> for each and toxic (the last probability reaches the
-    threshold).  Null, empty and wordless texts, and all texts if ``chain`` is None, get 0 and false.
+    threshold).  Null, empty and wordless texts, and all texts if ``chain`` is None, get 0 and false;
+    repeated rows each get their row; no rows in, no rows out.  A long text takes memory in proportion to
+    its words, as their hashes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(chain)  # a few thousand weights
-    names = [f"p_{c}" for c in CATEGORIES]
+    categories = chain.categories if chain else CATEGORIES
+    names = [f"p_{c}" for c in categories]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

@@ -3,11 +3,13 @@
 import hashlib
 import math
 import random
+import time
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from crawlscan.llm import language_id, secret_scan, toxicity
@@ -94,7 +96,8 @@ def test_language_edges(spark):
 def test_windows_cover_every_byte():
     texts = [b"", b"a", b"b" * 256, b"c" * 257, b"", b"d" * 1000]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    grid, row, held = language_id.windows_of(data, offsets)
+    row, start, held = language_id.windows_of(offsets)
+    grid = language_id.grid_of(data, start, held)
     assert [b"".join(grid[k, : held[k]].tobytes() for k in np.flatnonzero(row == r)) for r in range(len(texts))] == texts
 
 
@@ -173,3 +176,81 @@ def test_scan_and_redact(spark):
     out = secret_scan.redact(df)
     assert out.columns == df.columns and {r["doc_id"]: r["text"] for r in out.collect()} == {k: secret_scan.redacted(t) for k, t in enumerate([*SECRETS, None])}
     assert secret_scan.scan(df.limit(0)).count() == 0 and secret_scan.redact(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("key", ["k3v9z8x7q6w5m4n3b2p1o0u9y8t7", "K3V9Z8X7Q6W5M4N3B2P1O0U9Y8T7"])
+@pytest.mark.parametrize("harmless", ["", "xxxx", "0123456789", "example", "XXXX-"])
+def test_a_harmless_part_hides_no_secret(key, harmless):
+    (start, _, end), = secret_scan.spans(f"a {harmless}{key} b")[1]
+    assert start <= 2 + len(harmless) and end == 2 + len(harmless + key)
+    assert secret_scan.spans(f"a {harmless * 9}0123456789abcdefghijklmnopqrstuvwxyz0123456789 b")[1] == []
+
+
+def test_many_keys_in_one_text():
+    rng = random.Random(4)
+    keys = ["".join(rng.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(30)) for _ in range(20_000)]
+    start = time.perf_counter()
+    base, more = secret_scan.spans(" ".join(f"{k} token={k}" for k in keys))
+    assert len(base) == 20_000 and len(more) > 19_000 and time.perf_counter() - start < 20
+
+
+def test_chain_equals_a_naive_one(spark):
+    """Every probability, from sets of words and prefixes and sums of their weights, one category after another."""
+    rows = toxic_corpus(400, 5)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y, int(y and k % 3 > 0), None if k % 5 else y) for k, _, y in rows], "doc_id long, toxic int, insult int, threat int")
+    for earlier in ((), ("insult", "threat")):
+        chain = toxicity.train(docs, labels, earlier=earlier)
+        assert chain.categories[-1] == "toxic" and len(chain.models) == 3 and (not earlier or chain.categories[:2] == earlier)
+        got = {r["doc_id"]: r for r in toxicity.score(docs, chain).collect()}
+        for k, text, _ in rows[:60]:
+            words = re.findall("[a-z0-9]+", text.lower())
+            units = pa.array([" ".join(words)])
+            hashes = {int(h) for part in (toxicity.word_hashes(units, toxicity.NOT_ALNUM, toxicity.PREFIXES)[i] for i in (0, 2, 3, 4)) for h in part}
+            p = []
+            for name, m in zip(chain.categories, chain.models, strict=True):
+                z = m.bias + sum(w for h, w in zip(m.words.tolist(), m.weights.tolist(), strict=True) if h in hashes)
+                z += sum(a * math.log(min(max(q, 0.01), 0.99) / (1 - min(max(q, 0.01), 0.99))) for a, q in zip(m.earlier.tolist(), p, strict=True))
+                p.append(1 / (1 + math.exp(-z)))
+                assert got[k][f"p_{name}"] == pytest.approx(p[-1], abs=1e-9)
+            assert got[k]["toxic"] == (p[-1] >= chain.threshold)
+
+
+def test_network_equals_a_naive_one(spark):
+    """Filters slid byte by byte, maxima, softmax and the mean over windows, in plain loops."""
+    rng = np.random.default_rng(2)
+    grid = np.concatenate([rng.integers(97, 105, (40, language_id.WINDOW)), rng.integers(110, 120, (40, language_id.WINDOW))]).astype(np.uint8)
+    net = language_id.fit(grid, np.repeat([0, 1], 40), ["aa", "bb"])
+    texts = ["Abcdefgh " * 45, "nopqrst ABC", "é" * 200]
+
+    def probabilities(window):
+        data = list(window) + [0] * (language_id.WINDOW - len(window))
+        pooled = []
+        for f in range(net.conv.shape[1]):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            sums = [sum(float(net.embed[data[i + j]] @ net.conv[j * language_id.EMBED : (j + 1) * language_id.EMBED, f]) for j in range(width)) for i in range(0, language_id.WINDOW - max(language_id.WIDTHS) + 1)]
+            pooled.append(max(0.0, max(sums) + float(net.bias[f])))
+        z = [sum(h * float(net.out[f, c]) for f, h in enumerate(pooled)) + float(net.out_bias[c]) for c in range(2)]
+        e = [math.exp(v - max(z)) for v in z]
+        return [v / sum(e) for v in e]
+
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), net).collect()}
+    for k, text in enumerate(texts):
+        data = text.lower().encode()
+        windows = [data[a : a + language_id.WINDOW] for a in range(0, len(data), language_id.WINDOW)]
+        mean = [sum(p * len(w) for p, w in zip((probabilities(w)[c] for w in windows), windows, strict=True)) / len(data) for c in range(2)]
+        assert got[k]["lang_pred"] == ["aa", "bb"][mean.index(max(mean))] and got[k]["score"] == pytest.approx(max(mean), abs=1e-4)
+
+
+def test_long_texts(spark):
+    """Megabytes in one row: scored, identified and scanned whole, to their last word."""
+    rows = toxic_corpus(400, 3)
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    chain = toxicity.train(docs, spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int"))
+    long = "bana koster " * 300_000
+    df = spark.createDataFrame([(1, long + "vilscum gromtrash hatefool lowei"), (2, long + "token=abcdef")], "doc_id long, text string")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(df, chain).collect()}
+    assert got == {1: True, 2: False}
+    assert {r["doc_id"]: r["n_assign"] for r in secret_scan.scan(df).collect()} == {1: 0, 2: 1}
+    net = language_id.fit(np.random.default_rng(1).integers(97, 120, (64, language_id.WINDOW)).astype(np.uint8), np.arange(64) % 2, ["aa", "bb"])
+    assert {r["lang_pred"] for r in language_id.predict(df, net).collect()} <= {"aa", "bb"}
