@@ -80,6 +80,8 @@ PLAIN_WORDS = frozenset(
 )
 #: First words of names that tell a state of the branch (``with-sidebar``), not what it is.
 STATE_WORDS = frozenset("has is js no not with without".split())
+#: Names of a site's header, outside articles.
+HEADER_NAMES = frozenset("header site-header siteheader page-header pageheader main-header mainheader top-header topheader global-header globalheader".split())
 #: The few noise words that also hold for an element that marks an article.
 ARTICLE_NOISE = frozenset("ad ads advert comment comments promo promoted related reply replies sponsored".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
@@ -129,7 +131,8 @@ def _named_noise(tag: str, attributes: dict[str, str], inside_article: bool) ->
     names = noise_names(f"{attributes.get('class', '')} {attributes.get('id', '')}")
     if tag in ARTICLE:
         return "hard" if names & ARTICLE_NOISE else ""
-    return "soft" if names else ""
+    header = not inside_article and not HEADER_NAMES.isdisjoint(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().replace("_", "-").split())
+    return "soft" if names or header else ""
 
 
 def parse(page: str) -> Node:

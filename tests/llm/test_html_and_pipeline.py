@@ -46,6 +46,7 @@ SF = "/root/testdata/sf0.001"
         ("<article><p>a</p><div class=related-work>b</div><div class='related-posts'>c</div><div id=article-comments-2>d</div></article>", "a b"),
         ("<p>a</p><p><a href=/r>The full report</a></p><p>b</p><div><a href=/1>One</a> <a href=/2>Two</a></div>", "a The full report b"),
         ("<a href=it's>x</a><p title=\"a > b\">y</p><b title='>'>z</b>", "x y z"),
+        ("<div id=Site_Header>a</div><div class='wide header'><article><div class=header>b</div><p>c</article></div>", "b c"),
         ("<p class=market-share>a<p class=cookie-notice>b<p class='notice box'>c<div class=google-ads>d</div>", "a"),
     ],
 )
