@@ -24,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, few_tasks, small
 from .components import components
 
 #: functions per table -> (tables, probes with the own bucket among them), measured at cosine 0.95.
 PLAN = {1: (5, 4), 2: (6, 8), 3: (9, 8), 4: (11, 16), 5: (14, 24), 6: (18, 32)}
 BLOCK = 1024
+COLUMNS = 512  # vectors rotated at once
 ALTERNATIVES = 3
 SETTLE = 20_000  # vectors (and sixteenths of pairs) gathered before their codes are computed
 
@@ -40,47 +41,61 @@ def functions_for(n: int, dim: int = 64) -> int:
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """Fast Walsh-Hadamard transform of the rows, orthonormal; the width is a power of two."""
-    n, d = x.shape
+    """Fast Walsh-Hadamard transform of the columns, in place and without its factor; the height is a power of two."""
+    d, n = x.shape
     step = 1
     while step < d:
-        y = x.reshape(n, d // (2 * step), 2, step)
-        x = np.concatenate([y[:, :, :1] + y[:, :, 1:], y[:, :, :1] - y[:, :, 1:]], axis=2).reshape(n, d)
+        y = x.reshape(d // (2 * step), 2, step, n)
+        total = y[:, 0] + y[:, 1]
+        np.subtract(y[:, 0], y[:, 1], out=y[:, 1])
+        y[:, 0] = total
         step *= 2
-    return x / np.sqrt(d)
+    return x
 
 
 @functools.lru_cache(8)
 def _signs(dim: int, number: int) -> np.ndarray:
-    return np.random.default_rng(9001 + dim).choice(np.array([-1.0, 1.0]), (number, 3, dim))
+    return np.random.default_rng(9001 + dim).choice(np.array([-1.0, 1.0], np.float32), (number, 3, dim, 1))
 
 
 def codes(x: np.ndarray, k: int) -> np.ndarray:
-    """(rows, tables, probes) bucket codes of unit vectors; the first probe is the own bucket."""
+    """(rows, tables, probes) bucket codes of unit vectors; the first probe is the own bucket.
+
+    Rows are rotated ``COLUMNS`` at a time, as columns of a block that stays in the processor's cache.
+    All of it is additions in a fixed order, so a vector has the same codes in whatever company.
+    """
     tables, probes = PLAN[k]
     dim = max(2, 1 << (x.shape[1] - 1).bit_length())
-    x = np.pad(x, ((0, 0), (0, dim - x.shape[1])))
     signs, depth = _signs(dim, tables * k), min(ALTERNATIVES, dim)
     combos = np.array(list(itertools.product(range(depth), repeat=k)))
     combos = combos[np.argsort(combos.sum(1), kind="stable")][: max(4 * probes, 64)]
     out = np.zeros((len(x), tables, probes), np.int64)
-    for t in range(tables):
-        loss, code = np.zeros((len(x), len(combos))), np.zeros((len(x), len(combos)), np.int64)
-        for j in range(k):
-            r = x
-            for s in signs[t * k + j]:
-                r = hadamard(r * s)
-            size = np.abs(r)
-            best = np.argsort(-size, axis=1, kind="stable")[:, :depth]
-            value = np.take_along_axis(size, best, 1)
-            axis = 2 * best + (np.take_along_axis(r, best, 1) < 0)
-            pick = combos[:, j]
-            loss += ((value[:, :1] - value) ** 2)[:, pick]
-            code = code * (2 * dim) + axis[:, pick]
-        order = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-        chosen = np.take_along_axis(code, order, 1)
-        out[:, t, : chosen.shape[1]] = chosen
-        out[:, t, chosen.shape[1] :] = chosen[:, :1]
+    for first in range(0, len(x), COLUMNS):
+        part = x[first : first + COLUMNS]
+        n = len(part)
+        columns = np.zeros((dim, n), np.float32)
+        columns[: x.shape[1]] = part.T
+        at = np.arange(n)
+        for t in range(tables):
+            loss, code = np.zeros((n, len(combos)), np.float32), np.zeros((n, len(combos)), np.int64)
+            for j in range(k):
+                r = columns
+                for s in signs[t * k + j]:
+                    r = hadamard(r * s)
+                size = np.abs(r)
+                axis, value = np.empty((n, depth), np.int64), np.empty((n, depth), np.float32)
+                for rank in range(depth):
+                    best = size.argmax(axis=0)
+                    value[:, rank] = size[best, at]
+                    axis[:, rank] = 2 * best + (r[best, at] < 0)
+                    size[best, at] = -1
+                pick = combos[:, j]
+                loss += ((value[:, :1] - value) ** 2)[:, pick]
+                code = code * (2 * dim) + axis[:, pick]
+            order = np.argsort(loss, axis=1, kind="stable")[:, :probes]
+            chosen = np.take_along_axis(code, order, 1)
+            out[first : first + n, t, : chosen.shape[1]] = chosen
+            out[first : first + n, t, chosen.shape[1] :] = chosen[:, :1]
     return out
 
 
@@ -238,20 +253,23 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec
     v = F.col(vector_col).cast("array<double>")
     sound = F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False)) & F.col(id_col).isNotNull()
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(sound, F.transform(v, lambda x: x + F.lit(0.0))).alias("v"))
-    grouped = rows.filter("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    key = ["width", "digest_a", "digest_b"]  # tells vectors apart, so they are shuffled once
+    rows = rows.select("vec_id", "v", F.size("v").alias("width"), *(F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(k), "v")).alias(c) for k, c in enumerate(key[1:])))
+    ids = ws.save(rows.drop("v"), "ids")
+    grouped = rows.filter("v IS NOT NULL").groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = pa.array([np.asarray(x.values, np.float64).tobytes() for x in batch.column("v")], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), data, batch.column("v")], names=["rep", "n", "blob", "v"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], data], names=[*batch.schema.names[:-1], "blob"])
 
-    classes = ws.save(grouped.mapInArrow(blobs, "rep long, n long, blob binary, v array<double>"), "classes")
-    shape = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    classes = ws.save(few_tasks(grouped).mapInArrow(blobs, "width int, digest_a long, digest_b long, rep long, n long, blob binary"), "classes")
+    shape = classes.agg(F.count(F.lit(1)).alias("n"), F.max("width").alias("dim")).first()
     k = functions_for(shape["n"], shape["dim"] or 64)
     where = ["dim", "tab", "code"]
     posted = ws.save(entries(classes, k), "entries")
     met = posted.groupBy(*where).agg(F.count(F.lit(1)).alias("members"), F.count_if("own").alias("owners")).filter("members > 1 AND owners > 0")
-    met = met.select(*where, F.ceil(F.col("owners") / BLOCK).alias("rows"), F.ceil(F.col("members") / BLOCK).alias("columns"))
+    met = ws.save(met.select(*where, F.ceil(F.col("owners") / BLOCK).alias("rows"), F.ceil(F.col("members") / BLOCK).alias("columns")), "met", few=True)
     m = posted.join(met, where)
     one = (F.col("rows") == 1) & (F.col("columns") == 1)
     every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
@@ -259,13 +277,13 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec
     as_owner = F.when(F.col("own"), F.transform(every(F.col("columns")), lambda j: spot(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("rows")), j, 1)))
     as_member = F.transform(every(F.col("rows")), lambda i: spot(i, F.pmod(F.xxhash64("rep", F.lit(2)), F.col("columns")), 2))
     spots = F.when(one, F.array(spot(F.lit(0), F.lit(0), 0))).otherwise(F.concat(F.coalesce(as_owner, F.expr("cast(array() as array<struct<i:bigint,j:bigint,role:int>>)")), as_member))
-    key = [*where, "i", "j"]
+    block = [*where, "i", "j"]
     dealt = m.withColumn("spot", F.explode(spots)).select(*where, "spot.i", "spot.j", "spot.role", "own", "rep").join(classes.select("rep", "n", "blob"), "rep")
-    found = ws.save(verify(dealt.select(*key, "role", "own", "rep", "n", "blob").repartition(*key).sortWithinPartitions(*key), k, cosine), "found")
-    ws.drop("entries")
+    dealt = few_tasks(dealt.select(*block, "role", "own", "rep", "n", "blob").repartition(*block).sortWithinPartitions(*block))
+    found = ws.save(verify(dealt, k, cosine), "found")
     sums = found.filter("kind = 0").groupBy(F.col("x").alias("rep")).agg(F.sum("y").alias("linked"))
     parts = components(found.filter("kind = 1").select(F.col("x").alias("a"), F.col("y").alias("b")), ws, "cc").withColumnRenamed("node", "rep")
-    known = classes.select("v", "rep", "n").join(sums, "rep", "left").join(parts, "rep", "left")
-    known = ws.save(known.select("v", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("part")), "known")
-    out = rows.join(known, "v", "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("part", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    known = classes.select(*key, "rep", "n").join(sums, "rep", "left").join(small(parts), "rep", "left")
+    known = known.select(*key, (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("part"))
+    out = ids.join(known, key, "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("part", "vec_id").alias("component_id"))
+    return ws.result(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "links")
