@@ -12,7 +12,6 @@ An archive is read from where it is, local paths, http(s) and what Arrow reaches
 
 from __future__ import annotations
 
-import gzip
 import io
 import json
 import time
@@ -28,7 +27,7 @@ from pyspark.sql.types import StructType
 
 from crawlscan.schemas import RECORD
 from crawlscan.sources.fetch import fetch, open_stream, open_uri
-from crawlscan.sources.warc_format import Record, format_record, gzip_member, read_lenient, read_stream
+from crawlscan.sources.warc_format import Gunzip, Record, format_record, gzip_member, read_lenient, read_stream
 
 MODES = ("fail_archive", "lenient", "skip_bad_records")
 BATCH_BYTES = 8 << 20
@@ -39,21 +38,6 @@ _ARROW = pa.schema(
 )
 
 
-class _Piecewise(io.RawIOBase):
-    """Gives what a decompressor has, piece by piece, so that damage does not take what stands before it."""
-
-    def __init__(self, source: gzip.GzipFile):
-        self.source = source
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer) -> int:
-        part = self.source.read1(len(buffer))
-        buffer[: len(part)] = part
-        return len(part)
-
-
 class Archive(InputPartition):
     def __init__(self, uri: str):
         self.uri = uri
@@ -82,7 +66,7 @@ class WarcReader(DataSourceReader):
         with open_stream(uri) as raw:
             stream = io.BufferedReader(raw, 1 << 20)
             if uri.endswith(".gz"):
-                stream = io.BufferedReader(_Piecewise(gzip.GzipFile(fileobj=stream)), 1 << 18)
+                stream = io.BufferedReader(Gunzip(stream), 1 << 18)
             flags = {"every_type": self.every_type, "with_body": self.with_body}
             yield from read_lenient(stream, **flags) if self.mode == "lenient" else read_stream(stream, tolerant=self.mode == "skip_bad_records", **flags)
 

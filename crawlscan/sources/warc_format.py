@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import codecs
 import gzip
+import io
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
 
 CHUNK = LINE = 1 << 20
+GZIP_CHUNK = 1 << 16
+BLANK = (b"\r\n", b"\n")
+INITIALS = (b"W", b"w", b"C", b"c")  # of the headers that count
 #: A body must fit into a row's binary column.  Longer ones are counted through, never held.
 MAX_BODY = (1 << 31) - (1 << 20)
 
@@ -25,6 +29,44 @@ class BadArchive(Exception):
     """The archive cannot be read to its end."""
 
 
+class Gunzip(io.RawIOBase):
+    """Decompressed bytes of a gzip stream of any number of members, as a raw stream.
+
+    It gives what it has, member by member, so that damage does not take what stands before it.  Zero
+    bytes between members are passed over; damage raises ``zlib.error``, an end in a member ``EOFError``.
+    """
+
+    def __init__(self, source: BinaryIO):
+        self.source, self.held, self.member, self.begun = source, b"", None, False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while True:
+            ended = not self.held and not (held := self.source.read(GZIP_CHUNK))
+            if not self.held:
+                self.held = held
+            if self.member is None:
+                if self.begun:
+                    self.held = self.held.lstrip(b"\0")
+                if ended:
+                    return 0
+                if not self.held:
+                    continue
+                self.member, self.begun = zlib.decompressobj(31), True
+            out = self.member.decompress(self.held, len(buffer))
+            if self.member.eof:
+                self.held, self.member = self.member.unused_data, None
+            else:
+                self.held = self.member.unconsumed_tail
+                if ended and not out:
+                    raise EOFError("the stream ends in a gzip member")
+            if out:
+                buffer[: len(out)] = out
+                return len(out)
+
+
 def header_number(value: bytes) -> int:
     """The ASCII digits of a value as a number, wrapping at 64 bits; 0 if there are none."""
     digits = bytes(c for c in value if 48 <= c <= 57)
@@ -35,26 +77,27 @@ def _headers(lines: list[bytes]) -> tuple[str, str, str, int]:
     """Type, URI, date and length; names match in any case, the last of a repeated header counts."""
     found = {b"warc-type": b"", b"warc-target-uri": b"", b"warc-date": b"", b"content-length": b""}
     for line in lines:
-        name, colon, value = line.partition(b":")
-        if colon and name.lower() in found:
-            found[name.lower()] = value.strip()
+        if line[:1] in INITIALS:
+            name, colon, value = line.partition(b":")
+            if colon and (key := name.lower()) in found:
+                found[key] = value.strip()
     text = [found[k].decode("utf-8", "replace") for k in (b"warc-type", b"warc-target-uri", b"warc-date")]
     return text[0], text[1], text[2], header_number(found[b"content-length"])
 
 
-def _line(stream: BinaryIO, tolerant: bool = False) -> bytes:
-    """The next line; of one beyond ``LINE`` bytes its start, so that bytes without line ends take no memory."""
-    line = part = stream.readline(LINE)
-    decoder = codecs.getincrementaldecoder("utf-8")()
+def _odd_line(stream: BinaryIO, line: bytes, tolerant: bool) -> bytes:
+    """Checks a line that has begun with ``line``, and passes over what follows its first ``LINE`` bytes.
+
+    So bytes without line ends take no memory.
+    """
+    decoder, part = codecs.getincrementaldecoder("utf-8")("replace" if tolerant else "strict"), line
     try:
-        while not tolerant and part or len(part) == LINE:
-            if not tolerant:
-                decoder.decode(part)
+        while part:
+            decoder.decode(part)
             if len(part) < LINE or part.endswith(b"\n"):
                 break
             part = stream.readline(LINE)
-        if not tolerant:
-            decoder.decode(b"", final=True)
+        decoder.decode(b"", final=True)
     except UnicodeDecodeError as e:
         raise BadArchive(f"a line between records or in a header is not UTF-8: {e.reason}") from e
     return line
@@ -98,20 +141,20 @@ def read_stream(stream: BinaryIO, *, every_type: bool = False, with_body: bool =
     can be read is given and the archive counts as read, however little of it that is.
     """
     try:
-        while True:
-            line = _line(stream, tolerant)
-            if not line:
-                return
-            if not line.startswith(b"WARC/"):
+        while line := stream.readline(LINE):
+            if len(line) == LINE or not line.isascii():
+                line = _odd_line(stream, line, tolerant)
+            if line[:5] != b"WARC/":
                 continue
             lines = []
-            while True:
-                line = _line(stream, tolerant)
-                if not line:
-                    return
-                if not line.strip():
+            while line := stream.readline(LINE):
+                if len(line) == LINE or not line.isascii():
+                    line = _odd_line(stream, line, tolerant)
+                if line in BLANK or not line.strip():
                     break
                 lines.append(line)
+            else:
+                return
             kind, uri, date, length = _headers(lines)
             if length >> 63:
                 raise BadArchive(f"a record claims {length} bytes")

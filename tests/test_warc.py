@@ -4,6 +4,7 @@ import gzip
 import io
 import json
 import random
+import zlib
 
 import pytest
 
@@ -108,6 +109,21 @@ def test_lines_without_end_take_no_memory(monkeypatch):
         stream(b"y" * 90 + b"\xff\n" + sample())
 
 
+def test_gunzip_equals_the_library(monkeypatch):
+    rng = random.Random(3)
+    for chunk in (1, 7, 1 << 16):
+        monkeypatch.setattr(warc_format, "GZIP_CHUNK", chunk)
+        for _ in range(20):
+            parts = [rng.randbytes(rng.choice([0, 1, 50, 3000])) for _ in range(rng.randrange(4))]
+            data = b"".join(gzip.compress(p) + b"\0" * rng.choice([0, 0, 9]) for p in parts)
+            assert io.BufferedReader(warc_format.Gunzip(io.BytesIO(data)), 64).read() == b"".join(parts)
+            if parts:
+                with pytest.raises(EOFError):
+                    io.BufferedReader(warc_format.Gunzip(io.BytesIO(gzip.compress(b"abc" * 99)[:-1])), 64).read()
+    with pytest.raises(zlib.error):
+        io.BufferedReader(warc_format.Gunzip(io.BytesIO(b"no gzip"))).read()
+
+
 def test_a_window_slides_over_the_stream(monkeypatch):
     monkeypatch.setattr(warc_format, "CHUNK", 3)
     got = lenient(b"WARC" + b"noise " * 9 + sample() * 3)
