@@ -24,12 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow_text import by_bytes
 from .common import Workspace, few_tasks, small
 from .components import components
 
 #: functions per table -> (tables, probes with the own bucket among them), measured at cosine 0.95.
 PLAN = {1: (5, 4), 2: (6, 8), 3: (9, 8), 4: (11, 16), 5: (14, 24), 6: (18, 32)}
 BLOCK = 1024
+SLICE = 4 << 20  # bytes of vectors compared at once, or a block
+SMALL = 48  # members of a block up to which blocks are compared many at once
 COLUMNS = 512  # vectors rotated at once
 ALTERNATIVES = 3
 SETTLE = 20_000  # vectors (and sixteenths of pairs) gathered before their codes are computed
@@ -99,8 +102,9 @@ def codes(x: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def unit(blob: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blob), np.float64).reshape(len(blob), -1)
+def unit(blobs: list[bytes]) -> np.ndarray:
+    """Unit vectors of one width, as rows."""
+    x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
@@ -142,29 +146,58 @@ def first_meeting(cx: np.ndarray, cy: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tab, code
 
 
+def _with_last(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """Each batch, and whether it is the last."""
+    before = None
+    for batch in batches:
+        if before is not None:
+            yield False, before
+        before = batch
+    if before is not None:
+        yield True, before
+
+
 def verify(blocks: DataFrame, k: int, cosine: float) -> DataFrame:
     """Sums and links from blocks sorted by (dim, tab, code, i, j).
 
     ``kind`` 0: (x = class, y = vectors linked to each of its members); 1: a link (x, y) of the forest.
     """
 
-    def passing(table: pa.Table) -> tuple | None:
-        """Vectors of a block that are in pairs of enough cosine, and these pairs, the smaller id first."""
-        role, own = np.asarray(table["role"]), np.asarray(table["own"])
-        rep, n = np.asarray(table["rep"]), np.asarray(table["n"])
-        x = unit(table["blob"].to_pylist())
-        a, b = np.flatnonzero((role == 1) | ((role == 0) & own)), np.flatnonzero(role != 1)
-        ia, ib = np.nonzero(x[a] @ x[b].T >= cosine)
-        ia, ib = a[ia], b[ib]
+    def kept(table: pa.Table, ia: np.ndarray, ib: np.ndarray, x: np.ndarray) -> tuple | None:
+        """Vectors that are in the pairs, and the pairs, the smaller id first, with where they were found.
+
+        ``x`` has the unit vectors of all rows.  A pair of two owners counts from its smaller id alone.
+        """
+        rep, own = np.asarray(table["rep"]), np.asarray(table["own"])
         keep = (rep[ia] != rep[ib]) & ~(own[ib] & (rep[ib] < rep[ia]))
         ia, ib = ia[keep], ib[keep]
         if not len(ia):
             return None
         used, at = np.unique(np.concatenate([ia, ib]), return_inverse=True)
+        tab, code, n = (np.asarray(table[c]) for c in ("tab", "code", "n"))
+        where = tab[ia], code[ia]
         ia, ib = at[: len(ia)], at[len(ia) :]
         rep = rep[used]
         turned = rep[ia] > rep[ib]
-        return x[used], rep, n[used], np.where(turned, ib, ia), np.where(turned, ia, ib), table["tab"][0].as_py(), table["code"][0].as_py()
+        return x[used], rep, n[used], np.where(turned, ib, ia), np.where(turned, ia, ib), *where
+
+    def of_block(table: pa.Table) -> tuple | None:
+        """Pairs of enough cosine of one block."""
+        role, own = np.asarray(table["role"]), np.asarray(table["own"])
+        x = unit(table["blob"].to_pylist())
+        a, b = np.flatnonzero((role == 1) | ((role == 0) & own)), np.flatnonzero(role != 1)
+        ia, ib = np.nonzero(x[a] @ x[b].T >= cosine)
+        return kept(table, a[ia], b[ib], x)
+
+    def of_small(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> tuple | None:
+        """The same of many small blocks that are whole groups, those of one size at once."""
+        x, own, pairs = unit(table["blob"].to_pylist()), np.asarray(table["own"]), [(np.zeros(0, np.int64),) * 2]
+        for size in np.unique(sizes):
+            rows = starts[sizes == size][:, None] + np.arange(size)
+            near = (x[rows] @ x[rows].transpose(0, 2, 1) >= cosine) & own[rows][:, :, None]
+            block, i, j = np.nonzero(near)
+            pairs.append((rows[block, i], rows[block, j]))
+        return kept(table, *(np.concatenate(p) for p in zip(*pairs, strict=True)), x)
 
     def settled(parts: list[tuple]) -> pa.RecordBatch:
         """Sums and forest of the pairs that count where they were found; codes are computed once for all."""
@@ -174,7 +207,7 @@ def verify(blocks: DataFrame, k: int, cosine: float) -> DataFrame:
         c = codes(np.concatenate([p[0] for p in parts])[first], k)
         lo = number[np.concatenate([p[3] + s for p, s in zip(parts, starts, strict=False)])]
         hi = number[np.concatenate([p[4] + s for p, s in zip(parts, starts, strict=False)])]
-        here = [np.repeat([p[j] for p in parts], [len(p[3]) for p in parts]) for j in (5, 6)]
+        here = [np.concatenate([p[j] for p in parts]) for j in (5, 6)]
         counts = np.zeros(len(lo), bool)
         for s in range(0, len(lo), 20_000):
             tab, code = first_meeting(c[lo[s : s + 20_000]], c[hi[s : s + 20_000]])
@@ -201,33 +234,35 @@ def verify(blocks: DataFrame, k: int, cosine: float) -> DataFrame:
         kind = np.repeat(np.array([0, 1], np.int32), [len(some), len(links)])
         return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(xs), pa.array(ys)], names=["kind", "x", "y"])
 
-    def per_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-        held, at = [], None
-        for batch in batches:
-            keys = np.column_stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("dim", "tab", "code", "i", "j")])
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if s == e:
-                    continue
-                if at is not None and tuple(keys[s]) != at:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                at = tuple(keys[s])
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield pa.Table.from_batches(held)
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple | None]:
+        """The pairs of all blocks; a block that a batch may cut waits for the next."""
+        held = None
+        for last, batch in _with_last(by_bytes(batches, "blob", SLICE)):
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([held, table]) if held is not None else table).combine_chunks()
+            keys = np.column_stack([np.asarray(table[c]).astype(np.int64) for c in ("dim", "tab", "code", "i", "j")])
+            cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(keys)] * (len(keys) > 0)])
+            whole = len(cuts) - 1 if last else max(0, len(cuts) - 2)
+            held = table.slice(cuts[whole]) if len(keys) else None
+            starts, sizes = cuts[:whole], np.diff(cuts)[:whole]
+            small_ones = (np.asarray(table["role"])[starts] == 0) & (sizes <= SMALL) if whole else np.zeros(0, bool)
+            for dim in np.unique(keys[starts[small_ones], 0]):
+                mine = small_ones & (keys[starts, 0] == dim)
+                rows = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[mine], sizes[mine], strict=True)])
+                yield of_small(table.take(pa.array(rows)), np.cumsum(sizes[mine]) - sizes[mine], sizes[mine])
+            for s, n in zip(starts[~small_ones], sizes[~small_ones], strict=True):
+                yield of_block(table.slice(s, n))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
-        for table in per_block(batches):
-            found = passing(table)
-            if found is None:
+        for part in found(batches):
+            if part is None:
                 continue
-            if parts and parts[0][0].shape[1] != found[0].shape[1]:  # another vector length
+            if parts and parts[0][0].shape[1] != part[0].shape[1]:  # another vector length
                 yield settled(parts)
                 parts, size = [], 0
-            parts.append(found)
-            size += len(found[1]) + len(found[3]) // 16
+            parts.append(part)
+            size += len(part[1]) + len(part[3]) // 16
             if size > SETTLE:
                 yield settled(parts)
                 parts, size = [], 0
