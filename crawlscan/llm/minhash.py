@@ -313,3 +313,20 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("class_component")).otherwise(F.col("doc_id")))
     out = joined.withColumn("component_id", component).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     return ws.result(out, "components")
+
+
+#: Two-word shingles at 0.8 by an exact join on shingles, and components by reachability, in DuckDB SQL.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS sh FROM d),
+sets AS (SELECT rid, doc_id, len(sh)::BIGINT AS n, sh, md5(array_to_string(sh, chr(10))) AS digest FROM s),
+classes AS (SELECT digest, min(doc_id) AS rep, any_value(n) AS n, any_value(sh) AS sh FROM sets WHERE n > 0 AND doc_id IS NOT NULL GROUP BY digest),
+posted AS (SELECT digest, n, unnest(sh) AS x FROM classes),
+common AS (SELECT a.digest AS a, b.digest AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM posted a JOIN posted b ON a.x = b.x AND a.digest < b.digest GROUP BY 1, 2),
+near AS (SELECT a, b FROM common WHERE 100 * c >= 80 * (na + nb - c)),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(a, b) AS (SELECT digest, digest FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+parts AS (SELECT r.a AS digest, min(c.rep) AS part FROM reach r JOIN classes c ON r.b = c.digest GROUP BY 1)
+SELECT doc_id, sets.n AS n_shingles, CASE WHEN sets.n > 0 THEN part ELSE doc_id END AS component_id, coalesce(doc_id = CASE WHEN sets.n > 0 THEN part ELSE doc_id END, true) AS kept
+FROM sets LEFT JOIN parts USING (digest)
+"""

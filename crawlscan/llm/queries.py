@@ -58,4 +58,4 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_rules, op3_packing, op4_minhash, op5_secret_scan, op6_vector_dedup, op7_language_id, op8_mixing, op9_token_files, op10_html_extract)} | {"pipeline": corpus_pipeline.run}
-ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op8_mixing": mixing.ORACLE}
+ORACLES = {"op2_quality_rules": quality_rules.oracle(), "op4_minhash": minhash.ORACLE, "op6_vector_dedup": vector_dedup.ORACLE, "op8_mixing": mixing.ORACLE}

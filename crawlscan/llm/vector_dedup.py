@@ -322,3 +322,16 @@ def near_vectors(vectors: DataFrame, *, cosine: float = 0.95, id_col: str = "vec
     known = known.select(*key, (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("part"))
     out = ids.join(known, key, "left").select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("part", "vec_id").alias("component_id"))
     return ws.result(out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "links")
+
+
+#: Every pair compared, and components by reachability, in DuckDB SQL.
+ORACLE = r"""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+sound AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS vec_id, min(b) AS part FROM reach GROUP BY 1),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY 1)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, part AS component_id, v.vec_id = part AS kept FROM v LEFT JOIN parts ON v.vec_id = parts.vec_id LEFT JOIN counts ON v.vec_id = counts.vec_id
+"""
