@@ -4,8 +4,9 @@ A hash function flips signs and applies the fast Walsh-Hadamard transform three
 rotation, and takes the axis (with sign) nearest to the result; ``k`` functions make a bucket of a
 table.  A vector is stored in its own bucket of each table and probes the buckets that are next best
 by the loss of the replaced coordinates.  ``k`` grows with the number of vectors so that unrelated
-vectors rarely meet, and the number of tables with ``k`` so that a pair at cosine 0.95 escapes all of
-them with a probability of about 1e-4; closer pairs escape far less often.
+vectors rarely meet, and the number of tables with ``k`` so that few pairs at cosine 0.95 escape all of
+them: of 14,000 measured at widths 8 to 256 none did, of 5,000 at 768 and 1024 three; closer pairs
+escape far less often.
 
 Equal vectors form a class first.  Buckets with company are verified in blocks by matrix products in
 double precision.  A pair that meets in several buckets counts in the first of them alone, which its
