@@ -36,7 +36,8 @@ LOW = U64(1 << 31)  # states stay in [LOW, LOW << 32)
 LANES = 512
 BLOCK = 1 << 17
 MAGIC, TAIL = b"ANSF", b"FSNA"
-CACHE_UNITS = 1_000_000  # about 150 bytes each
+CACHE_UNITS, CACHE_IDS = 2_000_000, 16_000_000  # at most 28 bytes a unit, besides its ids
+JOINED_UNITS = 1000
 LONG_UNIT = 256  # bytes; longer units are not looked up by their hash
 AROUND = 8  # bytes before and after a piece that can tell where units start in it
 GROUP_BYTES = UNITS_BYTES = 4 << 20
@@ -161,6 +162,67 @@ def breaks_like_bytes(path: str) -> bool:
     return bool(plain and not spec.get("normalizer") and not any(re.search(r"[\s,.]", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec.get("added_tokens", [])))
 
 
+def token_sizes(path: str) -> np.ndarray | None:
+    """Bytes of text behind each id, or null if the ids of a text may stand for more or less than its bytes."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model = spec["model"]
+    changes = [spec.get("truncation"), spec.get("padding"), *(model.get(k) for k in ("unk_token", "dropout", "continuing_subword_prefix", "end_of_word_suffix"))]
+    if model.get("type") != "BPE" or any(changes) or not set(ByteLevel.alphabet()) <= set(model["vocab"]):
+        return None
+    sizes = {k: len(token) for token, k in model["vocab"].items()}  # a character stands for a byte
+    sizes |= {t["id"]: len(t["content"].encode()) for t in spec.get("added_tokens", [])}
+    out = np.zeros(max(sizes) + 1, np.int64)
+    out[list(sizes)] = list(sizes.values())
+    return out
+
+
+class UnitCache:
+    """Ids of units by their 64-bit hashes: an open-addressing table in arrays, filled to a half at most."""
+
+    def __init__(self, dtype: str):
+        self.ids = np.zeros(1 << 16, dtype)
+        self.clear()
+
+    def clear(self) -> None:
+        self.units = self.n_ids = 0
+        self._empty(1 << 16)
+
+    def _empty(self, slots: int) -> None:
+        self.key, self.place, self.size = np.zeros(slots, U64), np.full(slots, -1, np.int32), np.zeros(slots, np.uint16)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """The slot that holds each key, or else the free one (place -1) at which its search ends."""
+        mask = len(self.key) - 1
+        slot = (keys & U64(mask)).astype(np.int64)
+        todo = np.flatnonzero((self.key[slot] != keys) & (self.place[slot] >= 0))
+        while len(todo):
+            slot[todo] = at = (slot[todo] + 1) & mask
+            todo = todo[(self.key[at] != keys[todo]) & (self.place[at] >= 0)]
+        return slot
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Add distinct keys that are not there, with the number of ids of each."""
+        places = self.n_ids + np.cumsum(sizes) - sizes
+        self.units, end = self.units + len(keys), self.n_ids + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(2 * end - self.n_ids, self.ids.dtype)])
+        self.ids[self.n_ids : end] = ids
+        self.n_ids = end
+        if 2 * self.units > len(self.key):
+            held, slots = self.place >= 0, len(self.key)
+            keys, places, sizes = (np.concatenate(x) for x in ((self.key[held], keys), (self.place[held], places), (self.size[held], sizes)))
+            while 2 * self.units > slots:
+                slots *= 2
+            self._empty(slots)
+        while len(keys):
+            slot, first = np.unique(self.slots(keys), return_index=True)  # of keys that meet, one goes in
+            self.key[slot], self.place[slot], self.size[slot] = keys[first], places[first], sizes[first]
+            keys, places, sizes = (np.delete(x, first) for x in (keys, places, sizes))
+
+
 class UnitEncoder:
     """Ids of texts by a cache of units: the stretches between ``unit_starts``.
 
@@ -177,33 +239,64 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.units = breaks_like_bytes(path)
-        self.cache: dict[int, bytes] = {}
+        self.sizes = token_sizes(path) if self.units else None
+        self.cache = UnitCache(self.dtype)
+
+    def _each(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of byte spans in turn, each encoded as a text, and the number of ids of each."""
+        texts = [data[a:b].tobytes().decode() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        got = [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, self.dtype), *got]), np.array([len(x) for x in got], np.int64)
+
+    def _joined(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for short units, many to a text, where they are surely its units again."""
+        if self.sizes is None or not len(starts):
+            return self._each(data, starts, ends)
+        bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+        data = data[np.repeat(starts - bounds[:-1], ends - starts) + np.arange(bounds[-1])]
+        cut = np.zeros(len(bounds), bool)
+        cut[::JOINED_UNITS] = cut[-1] = True
+        while True:
+            sure = unit_starts(data, bounds[cut])
+            unit = np.searchsorted(bounds, sure, side="right") - 1
+            whole = bounds[unit] == sure
+            apart = np.append(np.bincount(unit[whole], minlength=len(starts)) == 0, False)
+            inner = unit[~whole]
+            apart[inner] = apart[inner + 1] = True  # what breaks inside goes by itself
+            if not (apart & ~cut).any():
+                break
+            cut |= apart
+        ids, _ = self._each(data, bounds[cut][:-1], bounds[cut][1:])
+        upto = np.append(np.cumsum(self.sizes[ids]), -1)
+        last = np.searchsorted(upto[:-1], bounds[1:])
+        if len(ids) != last[-1] + 1 or (upto[last] != bounds[1:]).any():  # ids stand for other bytes than they should
+            return self._each(data, bounds[:-1], bounds[1:])
+        return ids, np.diff(last, prepend=-1)
 
     def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the units of a piece in turn, and the number of ids of each unit."""
-        raw, base = data[starts[0] : ends[-1]].tobytes(), int(starts[0])
+        cache = self.cache
+        if cache.units > CACHE_UNITS or cache.n_ids > CACHE_IDS:
+            cache.clear()
         long = ends - starts > LONG_UNIT if self.units else np.ones(len(starts), bool)
-        short = np.flatnonzero(~long)
-        kinds, where, unit = np.unique(span_hashes(data, starts[short], ends[short]), return_index=True, return_inverse=True)
-        keys = kinds.tolist()
-        found = list(map(self.cache.get, keys))
-        missing = [k for k, ids in enumerate(found) if ids is None]
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        apart = np.concatenate([short[where[missing]], np.flatnonzero(long)]).astype(np.int64)
+        short, apart = np.flatnonzero(~long), np.flatnonzero(long)
+        keys = span_hashes(data, starts[short], ends[short])
+        slot = cache.slots(keys)
+        place, n = np.empty(len(starts), np.int64), np.empty(len(starts), np.int64)
+        place[short], n[short] = cache.place[slot], cache.size[slot]
+        new = np.flatnonzero(cache.place[slot] < 0)
+        if len(new):
+            kinds, first = np.unique(keys[new], return_index=True)
+            unit = short[new[first]]
+            cache.add(kinds, *self._joined(data, starts[unit], ends[unit]))
+            slot = cache.slots(keys[new])
+            place[short[new]], n[short[new]] = cache.place[slot], cache.size[slot]
+        flat = cache.ids
         if len(apart):
-            spans = zip((starts[apart] - base).tolist(), (ends[apart] - base).tolist(), strict=True)
-            got = [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)]
-            for k, ids in zip(missing, got, strict=False):
-                found[k] = self.cache[keys[k]] = ids
-            found += got[len(missing) :]
-        order = np.zeros(len(starts), np.int64)
-        order[short] = unit
-        order[long] = len(kinds) + np.arange(len(starts) - len(short))
-        sizes = np.array([len(x) for x in found], np.int64) // np.dtype(self.dtype).itemsize
-        place, flat = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), self.dtype)
-        n = sizes[order]
-        return flat[np.repeat(place[order] - np.cumsum(n) + n, n) + np.arange(n.sum())], n
+            ids, n[apart] = self._each(data, starts[apart], ends[apart])
+            place[apart] = cache.n_ids + np.cumsum(n[apart]) - n[apart]
+            flat = np.concatenate([flat[: cache.n_ids], ids])
+        return flat[np.repeat(place - np.cumsum(n) + n, n) + np.arange(n.sum())], n
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, each followed by ``end_id``, and the number of ids of each.

@@ -181,3 +181,51 @@ def test_ties_pack_alike_in_any_order(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     by_source = [sorted(map(repr, (r[:5] for r in packing.pack(x.coalesce(1)).select("doc_id", "piece", "n_words", "bin", "offset").collect()))) for x in (df, df.orderBy("source", "doc_id"))]
     assert by_source[0] == by_source[1]
+
+
+@pytest.mark.parametrize("sizes", ["known", "unknown", "wrong"])
+def test_new_units_go_to_the_tokenizer_many_to_a_text(tokenizer, sizes):
+    encoder, calls = token_files.UnitEncoder(PATH), []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Counted()
+    if sizes != "known":
+        encoder.sizes = None if sizes == "unknown" else encoder.sizes + 1
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdeé", k=6)) for _ in range(500)) + rng.choice([".", "  ", "\n", ", "]) for _ in range(10)] + ODD
+    for _ in range(2):
+        ids, n = encoder.encode(pa.array(texts, pa.string()), 0)
+        want = plain(tokenizer, texts)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+    if sizes == "known":
+        assert len(calls) < 200 < 4000 < encoder.cache.units
+
+
+def test_unit_cache_holds_what_went_in():
+    cache, want, rng = token_files.UnitCache("<u2"), {}, np.random.default_rng(3)
+    for step in range(40):
+        keys = np.unique(rng.integers(0, 1 << 40, 3000).astype(np.uint64) << np.uint64(20 * (step % 2)))  # odd steps meet in few slots
+        keys = np.append(keys[~np.isin(keys, list(want))], [] if step else np.zeros(1, np.uint64)).astype(np.uint64)
+        keys = np.unique(keys[:20] if step % 2 else keys)
+        sizes = rng.integers(0, 5, len(keys))
+        assert (cache.place[cache.slots(keys)] < 0).all()
+        ids = rng.integers(0, 1 << 16, sizes.sum()).astype("<u2")
+        cache.add(keys, ids, sizes)
+        want |= dict(zip(keys.tolist(), map(tuple, np.split(ids, np.cumsum(sizes)[:-1])), strict=True))
+    slot = cache.slots(np.array(list(want), np.uint64))
+    got = [tuple(cache.ids[a : a + n]) for a, n in zip(cache.place[slot].tolist(), cache.size[slot].tolist(), strict=True)]
+    assert got == list(want.values()) and cache.units == len(want) and 2 * cache.units <= len(cache.key)
+
+
+def test_a_full_cache_starts_anew(monkeypatch, tokenizer):
+    monkeypatch.setattr(token_files, "CACHE_UNITS", 50)
+    encoder = token_files.UnitEncoder(PATH)
+    for k in range(6):
+        texts = [f"w{j} x{j}y\n{j}" for j in range(30 * k, 30 * k + 40)]
+        ids, n = encoder.encode(pa.array(texts), 0)
+        want = plain(tokenizer, texts)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, []) and encoder.cache.units < 250
